@@ -39,7 +39,11 @@ def least_of(array: str, span: int, shape: tuple[int, ...]) -> Column:
 
 
 def fingerprints(rows: DataFrame, keep: list[str], window: int, gram: int) -> DataFrame:
-    """keep, and an array `fp` of the winnowed fingerprints of the column `w` of words."""
+    """keep, and an array `fp` of the winnowed fingerprints of the column `w` of words; null where there are too few.
+
+    Arrays go through explode_outer() below, and no filter stands on them: the optimizer would push it, and what it infers
+    from explode(), through these projections, and compute the whole chain anew for each element.
+    """
     grams = F.transform("w", lambda x, i: F.xxhash64(x, *[F.get(F.col("w"), i + j) for j in range(1, gram)]))
     out = rows.select(*keep, F.when(F.size("w") >= window, grams).alias("g"))
     # the least of so many grams, by stretches of growing length that overlap
@@ -51,7 +55,7 @@ def fingerprints(rows: DataFrame, keep: list[str], window: int, gram: int) -> Da
         out = out.select(*keep, least_of("g", 1, tuple(steps)).alias("g"))
         have = max(steps) + have
     # stretches that reach over the end are cut off
-    return out.select(*keep, F.array_distinct(F.slice("g", 1, F.greatest(F.size("g") - (need - 1), F.lit(0)))).alias("fp")).where("fp is not null")
+    return out.select(*keep, F.array_distinct(F.slice("g", 1, F.greatest(F.size("g") - (need - 1), F.lit(0)))).alias("fp"))
 
 
 def spans(column: str, m: int) -> Column:
@@ -83,25 +87,25 @@ def hits(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "ite
     lengths = sorted(r[0] for r in item_words.where(F.size("w") < window).select(F.size("w")).distinct().collect())  # below `window`
     every = [*lengths, window]
     sizes = F.least(F.size("w"), F.lit(window))
-    listed = F.explode(F.array_distinct(F.transform(F.coalesce(*[F.when(sizes == m, spans("w", m)) for m in every]), lambda x: F.struct(x["m"].alias("m"), x["h1"].alias("h1"), x["h2"].alias("h2")))))
+    listed = F.explode_outer(F.array_distinct(F.transform(F.coalesce(*[F.when(sizes == m, spans("w", m)) for m in every]), lambda x: F.struct(x["m"].alias("m"), x["h1"].alias("h1"), x["h2"].alias("h2")))))
     windows = item_words.select("item", listed.alias("x")).groupBy("x.m", "x.h1", "x.h2").agg(F.array_sort(F.collect_set("item")).alias("items"))
     # many windows have the same items: a window carries a name of its list
     windows = materialise(windows.withColumn("list", F.xxhash64(F.lit(3), "items")), "windows")
-    marks = fingerprints(item_words, [], window, gram).select(F.explode("fp").alias("fp"))
+    marks = fingerprints(item_words, [], window, gram).select(F.explode_outer("fp").alias("fp")).where("fp is not null")
     if lengths:
         marks = marks.union(windows.where(F.col("m") < window).select("h1"))
     marks = small(materialise(marks.distinct(), "marks"))
 
     read = docs.select(*text_key(F.col(text)), words(F.col(text)).alias("w"))
     own = fingerprints(read, ["k1", "k2"], window, gram)
-    rows = own.select("k1", "k2", F.explode("fp").alias("fp"))
+    rows = own.select("k1", "k2", F.explode_outer("fp").alias("fp"))
     for m in lengths:
-        rows = rows.union(read.where(F.size("w") >= m).select("k1", "k2", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - (m - 1)), lambda i, m=m: F.xxhash64(F.slice("w", i, m))))))
+        rows = rows.union(read.select("k1", "k2", F.explode_outer(F.transform(spans("w", m), lambda x: x["h1"]))))
     candidates = small(materialise(rows.join(marks, "fp", "left_semi").select("k1", "k2").distinct(), "candidates"))
 
     near = docs.select(*text_key(F.col(text)), F.col(text).alias("text")).join(candidates, ["k1", "k2"], "left_semi")
     near = near.dropDuplicates(["k1", "k2"]).select("k1", "k2", words(F.col("text")).alias("w"))
-    found = near.select("k1", "k2", F.explode(F.flatten(F.filter(F.array(*[spans("w", m) for m in every]), lambda x: x.isNotNull()))).alias("x"))
+    found = near.select("k1", "k2", F.explode_outer(F.flatten(F.filter(F.array(*[spans("w", m) for m in every]), lambda x: x.isNotNull()))).alias("x"))
     found = found.select("k1", "k2", "x.*").join(small(windows.select("m", "h1", "h2", "list")), ["m", "h1", "h2"])
     found = materialise(found.select("k1", "k2", "at", "m", "list"), "hits")
 
