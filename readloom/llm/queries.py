@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import simhash, toxicity, winnowing
+from readloom.llm import cube_mixing, ngram_lm, ring_sharding, simhash, toxicity, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.query,
+    "op3_ngram_lm": ngram_lm.query,
+    "op5_cube_mixing": cube_mixing.query,
     "op7_simhash": simhash.query,
+    "op8_ring_sharding": ring_sharding.query,
     "op9_winnowing": winnowing.query,
 }
 
