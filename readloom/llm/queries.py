@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import cube_mixing, ngram_lm, ring_sharding, simhash, toxicity, winnowing
+from readloom.llm import cube_mixing, ngram_lm, quality, ring_sharding, simhash, toxicity, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash": simhash.query,
     "op8_ring_sharding": ring_sharding.query,
     "op9_winnowing": winnowing.query,
+    "op10_quality_trees": quality.query,
 }
 
 ORACLES: dict[str, str] = {
