@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import shutil
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,6 +69,19 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)  # noqa: SLF001
 
 
+def shard_bits(df: DataFrame, shard_bytes: int) -> int:
+    """Bits that number so many shards that each has about `shard_bytes` of the bytes that df reads."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # noqa: SLF001
+    if size >= 1 << 60:  # not known
+        size = df.rdd.getNumPartitions() << 25
+    return max(2, math.ceil(math.log2(max(1, size / shard_bytes))))
+
+
+def small(table: DataFrame, most: int) -> DataFrame:
+    """A written table, marked for broadcast if its counted rows are few enough; otherwise joins of it shuffle."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def local_path(uri: str) -> str | None:
     """The plain path of a file: URI, None for another store."""
     if uri.startswith("file:"):
@@ -92,16 +107,20 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
-def steps(texts: list[bytes], most: int = STEP_BYTES) -> Iterator[slice]:
-    """Consecutive slices of the rows that hold about `most` bytes each."""
+def text_steps(column: pa.Array, most: int = STEP_BYTES) -> Iterator[tuple[slice, list[bytes]]]:
+    """Consecutive slices of the rows that hold about `most` bytes each, and their texts; only a slice's texts are copied."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    size = pc.binary_length(column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()))
+    size = size.fill_null(0).to_numpy(zero_copy_only=False)
     begin = total = 0
-    for i, text in enumerate(texts):
-        if total and total + len(text) > most:
-            yield slice(begin, i)
+    for i, n in enumerate(size.tolist()):
+        if total and total + n > most:
+            yield slice(begin, i), text_bytes(column.slice(begin, i - begin))
             begin, total = i, 0
-        total += len(text)
-    if begin < len(texts):
-        yield slice(begin, len(texts))
+        total += n
+    if begin < len(size):
+        yield slice(begin, len(size)), text_bytes(column.slice(begin))
 
 
 def append_columns(df: DataFrame, text: str, added: list[T.StructField], make: Callable[[], Callable[[list[bytes]], list]]) -> DataFrame:
@@ -120,8 +139,7 @@ def append_columns(df: DataFrame, text: str, added: list[T.StructField], make: C
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            texts = text_bytes(batch.column(at))
-            parts = [fn(texts[s]) for s in steps(texts)]
+            parts = [fn(texts) for _, texts in text_steps(batch.column(at))]
             new = [pa.array(np.concatenate([np.asarray(p[k]) for p in parts]), type=t) if not pa.types.is_string(t) else pa.array([x for p in parts for x in p[k]], type=t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *(f.name for f in added)])
 

@@ -10,7 +10,7 @@ from readloom.llm.common import discard, materialise
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root) for each node of an edge (a, b) of longs between different nodes; root: the smallest node reachable.
+    """(node, root) for each node of the edges (a, b), longs, but the roots themselves; root: the smallest node reachable.
 
     Each round hangs larger neighbours, then smaller ones, on the smallest node in sight, until nothing changes. A round
     shuffles the edges a few times and writes them to the shared folder; nothing but two sums reaches the driver. Nodes

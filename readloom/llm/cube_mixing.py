@@ -20,13 +20,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.llm.common import WORD, materialise
+from readloom.llm.common import WORD, materialise, small
 
 WEIGHTS = (1, 2, 3)
 #: Most copies of a document, and about how many documents a block has.
 MOST_COPIES, BLOCK = 3, 4096
 #: Documents of the last block that are kept for the landing.
 LANDING = 12
+#: Rows of some 40 bytes up to which the list of copies is broadcast; a longer one is joined by shuffle.
+COPY_ROWS = 500_000
 
 
 def flight(p: list[float], size: list[int], rng: random.Random) -> list[int]:
@@ -170,13 +172,18 @@ def mixed_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", sou
     taken = materialise(taken, "copies")
     rows = docs.withColumns({"_key": unit_key(F.col(id), F.col(text), F.col(source))})
     same = lambda a, b: (a["_key"] == b["_h"]) & a[id].eqNullSafe(b["_id"])
-    once, more = taken.where("_n = 1"), taken.where("_n > 1")
+    once, more = (small(taken.where(x), COPY_ROWS) for x in ("_n = 1", "_n > 1"))
     single = rows.join(once, same(rows, once)).select(*[rows[c] for c in docs.columns], F.get("_copies", F.lit(0)).alias("_times"))
-    # of rows with the same id, source and text, the first in the order of their columns takes the first number
-    row = F.struct(*[rows[c] for c in docs.columns])
+    if not more.isEmpty():
+        single = single.union(several_rows(rows, more, same, docs.columns))
+    return single.where("_times > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_time")).drop("_time")
+
+
+def several_rows(rows: DataFrame, more: DataFrame, same, columns: list[str]) -> DataFrame:
+    """Rows that share id, source and text: the first in the order of their columns takes the first number of copies."""
+    row = F.struct(*[rows[c] for c in columns])
     place = F.row_number().over(Window.partitionBy("_h", "_id").orderBy(row)) - 1
-    several = rows.join(more, same(rows, more)).select(*[rows[c] for c in docs.columns], F.get("_copies", place).alias("_times"))
-    return single.union(several).where("_times > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_time")).drop("_time")
+    return rows.join(more, same(rows, more)).select(*[rows[c] for c in columns], F.get("_copies", place).alias("_times"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from readloom.llm.common import Tokens, append_columns, in_fold, local_path, new_path, pair_hash, steps, text_bytes
+from readloom.llm.common import Tokens, append_columns, in_fold, local_path, new_path, pair_hash, shard_bits, text_steps
 
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Rows whose crc32 of the id leaves no remainder by this are held out of training.
 HELD_OUT = 10
 #: Tokens whose bigrams a task counts before it deals them out, and bytes of input a shard.
-TASK_TOKENS, SHARD_BYTES = 3_000_000, 8 << 20
+TASK_TOKENS, SHARD_BYTES = 1_500_000, 8 << 20
 
 
 def write_file(uri: str, arrays: list[np.ndarray]) -> None:
@@ -102,15 +102,18 @@ def packed(fields: list[pa.Array], names: list[str]) -> pa.RecordBatch:
 
 
 def counter(bits: int):
-    """mapInArrow over (text): for each shard, its bigrams as tokens with run lengths, contexts, and counts above one."""
+    """mapInArrow over (text): for each shard, its bigrams as tokens with run lengths, contexts by place in a list, and counts above one."""
 
     def flush(context: list[np.ndarray], token: list[np.ndarray]) -> pa.RecordBatch:
         u, w = np.concatenate(context), np.concatenate(token)
+        context.clear()
+        token.clear()
         key = pair_hash(u, w)
         order = np.argsort(key)
         cut = runs(key[order])
         first = order[cut[:-1]]
         count = np.diff(cut)
+        del order, cut
         u, w, shard = u[first], w[first], shard_of(key[first], bits)
         order = np.argsort((shard.astype(np.uint64) << np.uint64(40)) | (w >> np.uint64(24)), kind="stable")
         u, w, shard, count = u[order], w[order], shard[order], count[order]
@@ -118,22 +121,24 @@ def counter(bits: int):
         rows = []
         for a, b in zip(edge[:-1], edge[1:]):
             run = runs(w[a:b])
+            kinds, place = np.unique(u[a:b], return_inverse=True)
             more = np.flatnonzero(count[a:b] > 1)
-            rows.append((int(shard[a]), w[a:b][run[:-1]].tobytes(), np.diff(run).astype(np.uint32).tobytes(), u[a:b].tobytes(), more.astype(np.uint32).tobytes(), count[a:b][more].astype(np.uint64).tobytes()))
-        return packed([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int32()] + [pa.binary()] * 5)], ["shard", "a", "b", "c", "d", "e"])
+            place = place.astype(np.uint16 if len(kinds) < 1 << 16 else np.uint32)
+            parts = (w[a:b][run[:-1]], np.diff(run).astype(np.uint32), kinds, place, more.astype(np.uint32), count[a:b][more].astype(np.uint32))
+            rows.append((int(shard[a]), *(x.tobytes() for x in parts)))
+        return packed([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int32()] + [pa.binary()] * 6)], ["shard", *"abcdef"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, token, n = [], [], 0
         for batch in batches:
-            texts = text_bytes(batch.column(0))
-            for s in steps(texts):
-                u, w, _ = bigrams_of(texts[s])
+            for _, texts in text_steps(batch.column(0)):
+                u, w, _ = bigrams_of(texts)
                 context.append(u)
                 token.append(w)
                 n += len(u)
                 if n >= TASK_TOKENS:
                     yield flush(context, token)
-                    context, token, n = [], [], 0
+                    n = 0
         if n:
             yield flush(context, token)
 
@@ -167,17 +172,21 @@ def sums(key: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
     return [key[cut], *(np.add.reduceat(v[order].astype(np.uint64), cut) if len(cut) else v[:0].astype(np.uint64) for v in values)]
 
 
+def unpacked(row: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token, context and count of each bigram of a row that `counter` packed."""
+    w = np.repeat(np.frombuffer(row[0], np.uint64), np.frombuffer(row[1], np.uint32))
+    place = np.frombuffer(row[3], np.uint16 if len(row[3]) == 2 * len(w) else np.uint32)
+    count = np.ones(len(w), dtype=np.uint64)
+    count[np.frombuffer(row[4], np.uint32)] = np.frombuffer(row[5], np.uint32)
+    return w, np.frombuffer(row[2], np.uint64)[place], count
+
+
 def bigram_shards(path: str, bits: int):
     """mapInArrow over the counted bigrams: writes a shard's file, passes sums by token (kind 0), by context (1) and totals (2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in by_shard(batches):
-            w = np.concatenate([np.repeat(np.frombuffer(r[0], np.uint64), np.frombuffer(r[1], np.uint32)) for r in rows])
-            u = joined(rows, 2, np.uint64)
-            count = np.ones(len(u), dtype=np.uint64)
-            at = np.cumsum([0] + [len(r[2]) // 8 for r in rows])
-            for k, r in enumerate(rows):
-                count[at[k] + np.frombuffer(r[3], np.uint32)] = np.frombuffer(r[4], np.uint64)
+            w, u, count = (np.concatenate(x) for x in zip(*map(unpacked, rows)))
             del rows
             key = pair_hash(u, w)
             order = np.argsort(key)
@@ -316,10 +325,9 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     """Count the model of all rows of docs. Its files stay in the shared folder, under `Model.path`."""
     spark = docs.sparkSession
     rows = docs.select(text)
-    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # noqa: SLF001
-    bits = max(2, math.ceil(math.log2(max(1, size / SHARD_BYTES))))
+    bits = shard_bits(rows, SHARD_BYTES)
     path = new_path(spark, "bigram_model")
-    kinds = ", ".join(f"{c} binary" for c in "abcde")
+    kinds = ", ".join(f"{c} binary" for c in "abcdef")
     counted = rows.mapInArrow(counter(bits), f"shard int, {kinds}")
     n = 1 << bits
     summed = counted.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(bigram_shards(path, bits), "shard int, kind int, a binary, b binary, c binary, d binary")

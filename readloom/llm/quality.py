@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from readloom.llm import boosted_trees
-from readloom.llm.common import Tokens, append_columns, materialise, mix, steps, text_bytes
+from readloom.llm.common import Tokens, append_columns, materialise, mix, text_steps
 from readloom.llm.sample import MOST_LABELLED, labelled_sample
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -81,9 +81,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = text_bytes(batch.column(0))
-            for s in steps(texts):
-                x = features(texts[s], statistics(texts[s]))
+            for s, texts in text_steps(batch.column(0)):
+                x = features(texts, statistics(texts))
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1).slice(s.start, s.stop - s.start)], names=["x", "label"])
 
     got = sorted((bytes(r[0]), r[1]) for r in sample.mapInArrow(rows, "x binary, label int").collect())  # `most` rows at most

@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from readloom.llm.common import append_columns, discard, materialise
+from readloom.llm.common import append_columns, discard, materialise, small
 from readloom.llm.components import connected_components, roots, unite
 
 ALL = (1 << 64) - 1
 #: A bucket of more distinct fingerprints is dealt again by more of its bits: among tasks, or within one.
 DEAL_AGAIN, SPLIT_AGAIN = 32768, 1024
+#: Rows of 24 bytes up to which the list of rows to keep is broadcast; a longer one is joined by shuffle.
+KEEP_ROWS = 1_000_000
 
 
 def fingerprint(text: bytes, width: int = 4) -> int:
@@ -252,34 +254,41 @@ def link_fingerprints(nodes: DataFrame, radius: int = 4, deal_again: int = DEAL_
 
 
 def components(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = 4, width: int = 4) -> DataFrame:
-    """(id, fp long, component_id) for each row: component_id is the smallest id reachable over links of fingerprints."""
-    marked = materialise(with_fingerprints(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), "text", "fp", width).select("id", "fp"), "fingerprints")
+    """(id, t, fp, root, component_id) for each row.
+
+    t: xxhash64 of the text; root: a fingerprint that names the component, whose smallest id component_id is.
+    """
+    rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
+    marked = materialise(with_fingerprints(rows, "text", "fp", width).select("id", "t", "fp"), "fingerprints")
     nodes = materialise(marked.groupBy("fp").agg(F.min("id").alias("low")), "nodes")
     edges = link_fingerprints(nodes.select("fp"), radius)
     found = connected_components(edges)
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "rooted")
     low = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    names = materialise(rooted.join(low, "root").select("fp", "component_id"), "names")
+    names = materialise(rooted.join(low, "root").select("fp", "root", "component_id"), "names")
     for done in (nodes, rooted):
         discard(done)
-    return marked.join(names, "fp").select(F.col("id").alias(id), "fp", "component_id")
+    return marked.join(names, "fp").select(F.col("id").alias(id), "t", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each component: that of the smallest id. Rows without an id all stay.
+    """docs with one row of each component: of its smallest id (without ids: of one text), all columns as they were.
 
-    Repeated rows of that id count as copies; the first of them in the order of their columns' values stays.
+    Of rows that repeat that id with texts of the component, the smallest hash of the text decides, then the columns' values.
     """
-    found = components(docs, id, text)
-    keep = found.where(F.col(id) == F.col("component_id")).groupBy(F.col(id).alias("_kept_id")).agg(F.count(F.lit(1)).alias("_kept_n"))
-    keep = materialise(keep, "kept")
-    single = docs.join(keep.where("_kept_n = 1"), docs[id] == F.col("_kept_id"), "left_semi")
-    repeated = docs.join(keep.where("_kept_n > 1"), docs[id] == F.col("_kept_id"), "left_semi")
-    # a repeated id may hold other texts, in other components; what counts is the component named after the id
-    one = repeated.groupBy(id).agg(F.min(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])).alias("_row"))
-    one = one.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
-    return single.union(one).union(docs.where(F.col(id).isNull()))
+    found = components(docs, id, text).select(F.col(id).alias("_id"), F.col("t").alias("_t"), "root")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_t")).alias("m")).select("m._id", "m._t")
+    count = found.groupBy("_id", "_t").agg(F.count(F.lit(1)).alias("_n")).withColumnsRenamed({"_id": "_i", "_t": "_k"})
+    keep = materialise(first.join(count, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_t") == F.col("_k"))).select("_id", "_t", "_n"), "kept")
+    same = docs[id].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("_t"))
+    once, more = (small(keep.where(x), KEEP_ROWS) for x in ("_n = 1", "_n > 1"))
+    single = docs.join(once, same, "left_semi")
+    if more.isEmpty():
+        return single
+    row = F.min(F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)])).alias("_row")
+    one = docs.join(more, same).groupBy("_id", "_t").agg(row)
+    return single.union(one.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import LOWER, UPPER, ascii_lower, materialise
+from readloom.llm.common import LOWER, UPPER, ascii_lower, materialise, small
 
 #: What separates words once A-Z are lower case.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -75,11 +75,6 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2")]
 
 
-def small(table: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast if its counted rows are few enough."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-
-
 def hits(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(k1, k2, n_hit, n_items, items_sha256) for each distinct text with a hit."""
     item_words = items.select(F.col(item).cast("string").alias("item"), words(F.col(item_text)).alias("w")).where("size(w) > 0")
@@ -94,19 +89,19 @@ def hits(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "ite
     marks = fingerprints(item_words, [], window, gram).select(F.explode_outer("fp").alias("fp")).where("fp is not null")
     if lengths:
         marks = marks.union(windows.where(F.col("m") < window).select("h1"))
-    marks = small(materialise(marks.distinct(), "marks"))
+    marks = small(materialise(marks.distinct(), "marks"), BROADCAST_ROWS)
 
     read = docs.select(*text_key(F.col(text)), words(F.col(text)).alias("w"))
     own = fingerprints(read, ["k1", "k2"], window, gram)
     rows = own.select("k1", "k2", F.explode_outer("fp").alias("fp"))
     for m in lengths:
         rows = rows.union(read.select("k1", "k2", F.explode_outer(F.transform(spans("w", m), lambda x: x["h1"]))))
-    candidates = small(materialise(rows.join(marks, "fp", "left_semi").select("k1", "k2").distinct(), "candidates"))
+    candidates = small(materialise(rows.join(marks, "fp", "left_semi").select("k1", "k2").distinct(), "candidates"), BROADCAST_ROWS)
 
     near = docs.select(*text_key(F.col(text)), F.col(text).alias("text")).join(candidates, ["k1", "k2"], "left_semi")
     near = near.dropDuplicates(["k1", "k2"]).select("k1", "k2", words(F.col("text")).alias("w"))
     found = near.select("k1", "k2", F.explode_outer(F.flatten(F.filter(F.array(*[spans("w", m) for m in every]), lambda x: x.isNotNull()))).alias("x"))
-    found = found.select("k1", "k2", "x.*").join(small(windows.select("m", "h1", "h2", "list")), ["m", "h1", "h2"])
+    found = found.select("k1", "k2", "x.*").join(small(windows.select("m", "h1", "h2", "list"), BROADCAST_ROWS), ["m", "h1", "h2"])
     found = materialise(found.select("k1", "k2", "at", "m", "list"), "hits")
 
     # of each hit, the words beyond all earlier ends
@@ -126,7 +121,7 @@ def contamination(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: s
     rows = docs.select(F.col(id).alias("id"), *text_key(F.col(text)), parts.alias("p"))
     # a text of breaks alone has two empty parts, an empty text has one
     count = F.greatest(F.size("p") - (F.get("p", F.lit(0)) == "").cast("int") - (F.element_at("p", -1) == "").cast("int"), F.lit(0))
-    rows = rows.select("id", "k1", "k2", count.cast("long").alias("n_words")).join(found, ["k1", "k2"], "left")
+    rows = rows.select("id", "k1", "k2", count.cast("long").alias("n_words")).join(small(found, BROADCAST_ROWS), ["k1", "k2"], "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return rows.select(
         F.col("id").alias(id), "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
@@ -136,7 +131,7 @@ def contamination(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: s
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", **params) -> DataFrame:
     """docs without the contaminated ones, all columns as they were."""
-    found = hits(docs, items, text, **params).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("n_hit").alias("_n_hit"))
+    found = small(hits(docs, items, text, **params).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("n_hit").alias("_n_hit")), BROADCAST_ROWS)
     k1, k2 = text_key(F.col(text))
     rows = docs.withColumns({"_t1": k1, "_t2": k2}).join(found, (F.col("_t1") == F.col("_k1")) & (F.col("_t2") == F.col("_k2")), "left")
     keep = F.col("_n_hit").isNull() | (20 * F.col("_n_hit") < F.size(words(F.col(text))))
