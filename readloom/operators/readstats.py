@@ -36,21 +36,32 @@ def filter_calls(experiment: ModExperiment, regions: DataFrame | None = None, co
 
 def coverage(positions: DataFrame, samples: DataFrame, calls: DataFrame) -> DataFrame:
     """(sample, chrom, pos, strand, n) for every position of every sample."""
-    counts = calls.groupBy("sample", *POSITION).agg(F.count(F.lit(1)).alias("n"))
+    counts = position_counts(calls)
     grid = positions.select(*POSITION).crossJoin(F.broadcast(samples.select("sample")))  # samples are the columns of a result
     return grid.join(counts, ["sample", *POSITION], "left").fillna(0, ["n"])
 
 
+def position_counts(calls: DataFrame) -> DataFrame:
+    return calls.groupBy("sample", *POSITION).agg(F.count(F.lit(1)).alias("n"))
+
+
 def coverage_thresholds(positions: DataFrame, samples: DataFrame, calls: DataFrame) -> DataFrame:
-    """(sample, least): the upper quartile less half the interquartile range, rounded down, 1 at least."""
-    quarter, three = F.percentile("n", F.lit(0.25)), F.percentile("n", F.lit(0.75))
+    """(sample, least): the upper quartile less half the interquartile range, rounded down, 1 at least.
+
+    The quartiles are over all positions. Those that a sample lacks count as zeros by their number, and are not made as rows.
+    """
+    shape = position_counts(calls).groupBy("sample", "n").agg(F.count(F.lit(1)).alias("k"))
+    covered = samples.select("sample").join(shape.groupBy("sample").agg(F.sum("k").alias("covered")), "sample", "left")
+    total = positions.select(*POSITION).distinct().agg(F.count(F.lit(1)).alias("total"))
+    zeros = covered.crossJoin(F.broadcast(total)).select("sample", F.lit(0).cast("long").alias("n"), (F.col("total") - F.coalesce("covered", F.lit(0))).alias("k"))  # a row
+    quarter, three = F.percentile("n", F.lit(0.25), F.col("k")), F.percentile("n", F.lit(0.75), F.col("k"))
     least = F.greatest(F.floor(three - 0.5 * (three - quarter)), F.lit(1).cast("long"))
-    return coverage(positions, samples, calls).groupBy("sample").agg(least.cast("long").alias("least"))
+    return shape.union(zeros).groupBy("sample").agg(F.coalesce(least, F.lit(1)).cast("long").alias("least"))
 
 
 def filter_coverage(calls: DataFrame, positions: DataFrame, samples: DataFrame, least: int | None = None) -> DataFrame:
     """Calls at positions that enough reads of the sample cover; by default coverage_thresholds tells how many."""
-    counts = calls.groupBy("sample", *POSITION).agg(F.count(F.lit(1)).alias("n"))
+    counts = position_counts(calls)
     if least is not None:
         keep = counts.where(F.col("n") >= least)
     else:
