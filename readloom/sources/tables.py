@@ -43,7 +43,7 @@ def genomic_order(rows: DataFrame, seqinfo: DataFrame) -> DataFrame:
     return rows.join(seqinfo.select("chrom", "chrom_ord"), "chrom").orderBy("chrom_ord", strand, "pos").drop("chrom_ord")
 
 
-def first_rows(spark: SparkSession, path: str, rows: DataFrame, nrows: int | None) -> DataFrame:
+def first_rows(rows: DataFrame, nrows: int | None) -> DataFrame:
     """The first rows of one file, in its order."""
     return rows if nrows is None else rows.limit(nrows)
 
@@ -68,7 +68,7 @@ def read_bedmethyl(spark: SparkSession, files, modbase: str | list[str] | None =
     tables, named = [], named_files(files)
     for number, (sample, path) in enumerate(named):
         rows = spark.read.schema(BEDMETHYL).option("sep", "\t").csv(path)
-        rows = first_rows(spark, path, rows.select("chrom", "start0", "modbase", "strand", "n_valid", "n_mod"), nrows).withColumn("row_no", F.monotonically_increasing_id())
+        rows = first_rows(rows.select("chrom", "start0", "modbase", "strand", "n_valid", "n_mod"), nrows).withColumn("row_no", F.monotonically_increasing_id())
         if codes is not None:
             rows = rows.where(F.col("modbase").isin(codes))
         rows = rows.select(F.lit(sample).alias("sample"), "chrom", (F.col("start0") + 1).cast("int").alias("pos"), "strand", "n_mod", "n_valid", "row_no")
@@ -132,7 +132,7 @@ def read_modkit_extract(spark: SparkSession, files, modbase: str | list[str] | d
     tables = []
     for sample, path in named:
         header = spark.read.option("sep", "\t").option("header", True).csv(path)
-        rows = first_rows(spark, path, header.select(*MODKIT), nrows)
+        rows = first_rows(header.select(*MODKIT), nrows)
         rows = rows.select(F.lit(sample).alias("sample"), "chrom", "call_code", "read_id", "ref_strand", F.col("ref_position").cast("int"), F.col("fail").cast("boolean"), F.col("call_prob").cast("double"))
         tables.append(rows.where(F.col("call_code").isin(codes[sample], "-")).withColumn("scan_ord", F.monotonically_increasing_id()))
     rows = tables[0]

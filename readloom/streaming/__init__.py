@@ -1,0 +1 @@
+"""Nothing here: all operators are over whole tables."""
