@@ -330,8 +330,8 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     kinds = ", ".join(f"{c} binary" for c in "abcdef")
     counted = rows.mapInArrow(counter(bits), f"shard int, {kinds}")
     n = 1 << bits
-    summed = counted.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(bigram_shards(path, bits), "shard int, kind int, a binary, b binary, c binary, d binary")
-    totals = summed.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(word_shards(path), "total array<long>").collect()  # a row a shard
+    summed = counted.repartitionById(n, F.col("shard")).sortWithinPartitions("shard").mapInArrow(bigram_shards(path, bits), "shard int, kind int, a binary, b binary, c binary, d binary")
+    totals = summed.repartitionById(n, F.col("shard")).sortWithinPartitions("shard").mapInArrow(word_shards(path), "total array<long>").collect()  # a row a shard
     t = [sum(x) for x in zip(*(r[0] for r in totals))] or [0] * 12
     tokens, kinds_seen, followers, b1, b2, b3, b4, b3more = t[:8]
     low = discounts([b1, b2, b3, b4])
