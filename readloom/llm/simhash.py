@@ -265,9 +265,9 @@ def components(docs: DataFrame, id: str = "doc_id", text: str = "text", radius:
     found = connected_components(edges)
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "rooted")
-    low = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    low = materialise(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "low")
     names = materialise(rooted.join(low, "root").select("fp", "root", "component_id"), "names")
-    for done in (nodes, rooted):
+    for done in (nodes, rooted, low):
         discard(done)
     return marked.join(names, "fp").select(F.col("id").alias(id), "t", "fp", "root", "component_id")
 
