@@ -356,6 +356,22 @@ def test_passages_are_found(spark, empty):
     assert chain_dedup.classes(docs).count() == len(rows) and chain_dedup.classes(empty).count() == 0
 
 
+def test_parts_of_a_failing_piece_are_found(spark):
+    rng = random.Random(18)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    fill = lambda n: [word() for _ in range(n)]
+    rows = []
+    for k, gap in enumerate((20, 27, 30, 33, 36, 40)):
+        one, two = fill(51), fill(51)
+        rows += [(2 * k + i, " ".join(fill(70) + one + fill(gap) + two + fill(70))) for i in range(2)]
+    three = [fill(51) for _ in range(3)]
+    rows += [(12 + i, " ".join(fill(70) + three[0] + fill(25) + three[1] + fill(25) + three[2] + fill(70))) for i in range(2)]
+    found = {r.doc_id: r for r in chain_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[k].class_id == k - k % 2 and found[k].n_repeated >= (150 if k > 11 else 100) for k in range(14))
+    alone = list(range(100, 151))
+    assert chain_dedup.parts([1, 2, *alone, 3], [4, *alone, 5, 6]) == [(2, 53, 1, 52, 51)]
+
+
 # learned operators
 
 
