@@ -372,6 +372,20 @@ def test_parts_of_a_failing_piece_are_found(spark):
     assert chain_dedup.parts([1, 2, *alone, 3], [4, *alone, 5, 6]) == [(2, 53, 1, 52, 51)]
 
 
+def test_fuzzy_passages_are_found(spark):
+    rng = random.Random(19)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    fill = lambda n: [word() for _ in range(n)]
+    rows = []
+    for k in range(20):
+        one = fill(60)
+        changed = set(range(4, 60, 5)) if k % 2 else set(rng.sample(range(1, 59), 9))
+        two = [word() if i in changed else w for i, w in enumerate(one)]
+        rows += [(2 * k, " ".join(fill(70) + one + fill(70))), (2 * k + 1, " ".join(fill(70) + two + fill(70)))]
+    found = chain_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == 40 and all(r.class_id == r.doc_id - r.doc_id % 2 and r.n_repeated >= 50 for r in found)
+
+
 # learned operators
 
 
