@@ -213,6 +213,12 @@ class Tokens:
         h *= self._inverse[self.start]
         return mix(h)
 
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the words' hashes up to each word, times powers of the base, and inverse powers: hashes of rows of words."""
+        n = len(self.hash)
+        self._grow(n)
+        return np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(self.hash * self._powers[:n])]), self._inverse[:n]
+
     def row(self) -> np.ndarray:
         """The text that each word is of."""
         return np.repeat(np.arange(len(self.counts)), self.counts)

@@ -386,6 +386,18 @@ def test_fuzzy_passages_are_found(spark):
     assert len(found) == 40 and all(r.class_id == r.doc_id - r.doc_id % 2 and r.n_repeated >= 50 for r in found)
 
 
+def test_passages_do_not_depend_on_a_hub():
+    rng = random.Random(20)
+    fill = lambda n: [rng.getrandbits(40) for _ in range(n)]
+    for held, hubs in ((40, 1), (45, 1), (49, 1), (45, 10), (49, 40)):
+        one = fill(51)
+        texts = [[*fill(60), *one[k % 3 : k % 3 + held], *fill(60)] for k in range(hubs)] + [[*fill(60), *one, *fill(60)] for _ in range(2)]
+        h, t, p, follow = chain_dedup.seeds_of([" ".join(map(str, x)).encode() for x in texts])
+        (ta, tb, pa, pb), _ = chain_dedup.linked(h, t, p, follow)
+        shared = {int(x) for a, b, x in zip(ta, tb, pa) if (a, b) == (hubs, hubs + 1)}
+        assert {60, 60 + 51 - chain_dedup.GRAM - 1} <= shared
+
+
 # learned operators
 
 
