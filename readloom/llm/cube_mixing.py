@@ -3,8 +3,9 @@
 Each document of a source is due the same number of copies, its source's target over its source's size; the whole part is
 sure, the fraction is an inclusion probability. Blocks of a source's documents move these probabilities through the null
 space of two constraints, words and documents, three documents at a time, until all but two of a block are 0 or 1; what
-is left of all blocks moves on in blocks of its own, round by round, until one block of a source is left. Its last two, and a
-dozen documents of all sizes that it keeps back, land on the choice that comes nearest to the source's words and documents.
+is left of all blocks moves on in blocks of its own, round by round, until one block of a source is left. Each block keeps a
+dozen documents of all sizes back. Those of a source's last block, which a source of one block has in the first round, and
+its last two land on the choice that comes nearest to the source's words and documents.
 
 Given results: a null text has no words; a null source is a source, the last. A source without words has target 0, and its
 documents are taken 0 words. Repeated rows are documents each. The random moves are seeded by the rows' hashes, so that
@@ -25,7 +26,7 @@ from readloom.llm.common import WORD, materialise, small
 WEIGHTS = (1, 2, 3)
 #: Most copies of a document, and about how many documents a block has.
 MOST_COPIES, BLOCK = 3, 4096
-#: Documents of the last block that are kept for the landing.
+#: Documents of a block that are kept for the landing; of an earlier block a quarter at most, that rounds come to an end.
 LANDING = 12
 #: Rows of some 40 bytes up to which the list of copies is broadcast; a longer one is joined by shuffle.
 COPY_ROWS = 500_000
@@ -75,17 +76,24 @@ def land(p: list[float], size: list[int], left: list[int]) -> None:
         p[k] = float(v)
 
 
-def mover(last: bool):
-    """Move a block's fractions. The last block of a source keeps some documents of all sizes for the landing."""
+def ladder(size: list[int], some: int) -> list[int]:
+    """Places of some documents whose sizes halve from the largest on, as nearly as they can, so that their sums lie close."""
+    free, wanted = set(range(len(size))), float(max(size))
+    for _ in range(some):
+        free.remove(min(free, key=lambda k: (abs(size[k] - wanted), k)))
+        wanted /= 2
+    return sorted(set(range(len(size))) - free)
+
+
+def mover(most: int):
+    """Move a block's fractions, but those of some documents of all sizes; the only block of a source, of `most` documents, lands."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["h", "id", "size"], kind="stable", na_position="first")
         p, size = block["p"].tolist(), block["size"].tolist()
         rng = random.Random(int(block["h"].iloc[0]) ^ len(p))
-        kept: list[int] = []
-        if last:
-            ladder = sorted(range(len(p)), key=lambda k: (size[k], k))
-            kept = sorted({ladder[i * (len(p) - 1) // (LANDING - 1)] for i in range(LANDING)})
+        last = int(block["n"].iloc[0]) <= most
+        kept = ladder(size, min(LANDING, len(p) if last else len(p) // 4))
         rest = sorted(set(range(len(p))) - set(kept))
         own = [p[k] for k in rest]
         left = [rest[k] for k in flight(own, [size[k] for k in rest], rng)]
@@ -149,9 +157,9 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     turn = 0
     while most:
         last = most <= block
-        parts = left.withColumn("block", F.lit(0).cast("long") if last else F.pmod(F.xxhash64(F.lit(turn), "h"), blocks.cast("long")))
+        parts = left.withColumn("block", F.pmod(F.xxhash64(F.lit(turn), "h"), blocks.cast("long")))
         schema = ", ".join(f"`{n}` {t}" for n, t in parts.dtypes)
-        moved = materialise(parts.groupBy("source", "block").applyInPandas(mover(last), schema).drop("block"), "moved")
+        moved = materialise(parts.groupBy("source", "block").applyInPandas(mover(block), schema).drop("block"), "moved")
         settled.append(moved.where("p = 0 or p = 1").select(columns))
         if last:
             break

@@ -175,6 +175,15 @@ def test_cube_mixing(docs, empty):
     assert cube_mixing.mix(empty).count() == 0 and cube_mixing.mixed_documents(empty).count() == 0
 
 
+def test_small_sources_land_beside_large_ones(spark):
+    rng = random.Random(21)
+    size = lambda: rng.randint(2000, 20000) if rng.random() < 0.01 else rng.randint(20, 400)
+    rows = [(k, "w " * size(), "abcdef"[k % 6] if k < 1800 else "g") for k in range(6500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    taken = cube_mixing.mix(docs).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("words"), F.first("target").alias("target")).collect()
+    assert len(taken) == 7 and all(abs(r.words / r.target - 1) < 1e-3 for r in taken)
+
+
 def test_mixing_targets_are_capped(spark):
     rows = [("a", 100, 5), ("b", 1, 1), ("c", 1, 1), (None, 0, 2)]
     found = {r.source: r.target for r in cube_mixing.targets(spark.createDataFrame(rows, "source string, source_size long, n long")).collect()}
