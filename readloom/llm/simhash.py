@@ -272,12 +272,12 @@ def components(docs: DataFrame, id: str = "doc_id", text: str = "text", radius:
     return marked.join(names, "fp").select(F.col("id").alias(id), "t", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", find=components) -> DataFrame:
     """docs with one row of each component: of its smallest id (without ids: of one text), all columns as they were.
 
-    Of rows that repeat that id with texts of the component, the smallest hash of the text decides, then the columns' values.
+    `find` gives the components, by default by fingerprints. Of rows that repeat that id with texts of the component, the smallest hash of the text decides, then the columns' values.
     """
-    found = components(docs, id, text).select(F.col(id).alias("_id"), F.col("t").alias("_t"), "root")
+    found = find(docs, id, text).select(F.col(id).alias("_id"), F.col("t").alias("_t"), "root")
     first = found.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_t")).alias("m")).select("m._id", "m._t")
     count = found.groupBy("_id", "_t").agg(F.count(F.lit(1)).alias("_n")).withColumnsRenamed({"_id": "_i", "_t": "_k"})
     keep = materialise(first.join(count, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_t") == F.col("_k"))).select("_id", "_t", "_n"), "kept")
