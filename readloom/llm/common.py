@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import math
 import shutil
 import tempfile
@@ -69,6 +70,12 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)  # noqa: SLF001
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver collect what it no longer refers to, so that shuffle files of finished steps are deleted by now."""
+    gc.collect()
+    spark._jvm.System.gc()  # noqa: SLF001
+
+
 def shard_bits(df: DataFrame, shard_bytes: int) -> int:
     """Bits that number so many shards that each has about `shard_bytes` of the bytes that df reads."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # noqa: SLF001

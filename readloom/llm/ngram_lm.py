@@ -33,6 +33,8 @@ BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 HELD_OUT = 10
 #: Tokens whose bigrams a task counts before it deals them out, and bytes of input a shard.
 TASK_TOKENS, SHARD_BYTES = 1_500_000, 8 << 20
+#: Tasks, as a power of 2, that shards are dealt to at most; more shards follow each other in a task.
+MOST_TASKS = 13
 
 
 def write_file(uri: str, arrays: list[np.ndarray]) -> None:
@@ -160,6 +162,13 @@ def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list
         yield now, rows
 
 
+def dealt(rows: DataFrame, bits: int) -> DataFrame:
+    """Rows of 2 ** bits shards, and of shards under zero, dealt to MOST_TASKS tasks at most and sorted by shard in each."""
+    n = 1 << min(bits, MOST_TASKS)
+    part = F.shiftright("shard", max(0, bits - MOST_TASKS))
+    return rows.repartitionById(n, F.when(F.col("shard") < 0, F.pmod(F.xxhash64("shard", *rows.columns[1:3]), F.lit(n))).otherwise(part).cast("int")).sortWithinPartitions("shard")
+
+
 def joined(rows: list, k: int, kind: type) -> np.ndarray:
     return np.concatenate([np.frombuffer(r[k], dtype=kind) for r in rows]) if rows else np.zeros(0, dtype=kind)
 

@@ -395,16 +395,66 @@ def test_fuzzy_passages_are_found(spark):
     assert len(found) == 40 and all(r.class_id == r.doc_id - r.doc_id % 2 and r.n_repeated >= 50 for r in found)
 
 
+def linked_pairs(texts):
+    h, t, p, *rest = chain_dedup.seeds_of([" ".join(map(str, x)).encode() for x in texts])
+    links, _ = chain_dedup.linked(h, t, p, *rest, np.zeros(0, np.uint64))
+    return links
+
+
 def test_passages_do_not_depend_on_a_hub():
     rng = random.Random(20)
     fill = lambda n: [rng.getrandbits(40) for _ in range(n)]
-    for held, hubs in ((40, 1), (45, 1), (49, 1), (45, 10), (49, 40)):
-        one = fill(51)
+    for held, hubs in ((40, 1), (45, 1), (49, 1), (45, 10), (49, 40), (20, 100)):
+        one = fill(56)
         texts = [[*fill(60), *one[k % 3 : k % 3 + held], *fill(60)] for k in range(hubs)] + [[*fill(60), *one, *fill(60)] for _ in range(2)]
-        h, t, p, follow = chain_dedup.seeds_of([" ".join(map(str, x)).encode() for x in texts])
-        (ta, tb, pa, pb), _ = chain_dedup.linked(h, t, p, follow)
-        shared = {int(x) for a, b, x in zip(ta, tb, pa) if (a, b) == (hubs, hubs + 1)}
-        assert {60, 60 + 51 - chain_dedup.GRAM - 1} <= shared
+        ta, tb, pa, pb = linked_pairs(texts)
+        shared = [int(x) for a, b, x in zip(ta, tb, pa) if (a, b) == (hubs, hubs + 1)]
+        assert len(set(shared)) > 1 and max(shared) - min(shared) >= 40
+
+
+def test_occurrences_are_linked_as_defined():
+    rng = random.Random(23)
+    texts = [[*(rng.getrandbits(40) for _ in range(60)), *("a", "b", "c", "d") * 3, *(rng.getrandbits(2) for _ in range(60))] for _ in range(40)]
+    h, t, p, follow, after, before = chain_dedup.seeds_of([" ".join(map(str, x)).encode() for x in texts])
+    size = Counter(h.tolist())
+    want = set()
+    at = defaultdict(list)
+    for i, x in enumerate(h.tolist()):
+        at[x].append(i)
+    for group in at.values():
+        for i in group:
+            for j in group:
+                if t[i] < t[j] and len(group) <= chain_dedup.MOST_ALIKE:
+                    want.add((t[i], t[j], p[i], p[j]))
+    found = set(zip(*chain_dedup.linked(h, t, p, follow, after, before, np.zeros(0, np.uint64))[0]))
+    assert want <= found and max(size.values()) > chain_dedup.MOST_ALIKE and len(want) > 100
+    where = {(a, b): k for k, (a, b) in enumerate(zip(t.tolist(), p.tolist()))}
+    assert all(size[int(h[where[a, x]])] > chain_dedup.MOST_ALIKE for a, b, x, y in found - want if (a, x) in where)
+    _, many = chain_dedup.linked(h, t, p, follow, after, before, h[:1])
+    assert set(many[0].tolist()) == {int(h[0])} and len(many[0]) == size[int(h[0])]
+
+
+def test_hot_seeds_go_on_as_rows(spark, monkeypatch):
+    rng = random.Random(24)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage = [word() for _ in range(60)]
+    rows = [(k, " ".join([word() for _ in range(30 + k)] + passage + [word() for _ in range(20)])) for k in range(40)]
+    rows += [(40 + k, " ".join(word() for _ in range(90))) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    plain = sorted(map(tuple, chain_dedup.classes(docs).drop("n_links").collect()))
+    for name, value in (("MOST_HELD", 20), ("MOST_SENT", 5)):
+        monkeypatch.setattr(chain_dedup, name, value)
+        assert sorted(map(tuple, chain_dedup.classes(docs).drop("n_links").collect())) == plain
+    assert all(r[2] == 0 and r[3] >= 60 for r in plain[:40]) and all(r[2] == r[0] and r[3] == 0 for r in plain[40:])
+
+
+def test_extension_is_not_capped(spark, monkeypatch):
+    monkeypatch.setattr(chain_dedup, "MARGIN", 4)
+    rng = random.Random(25)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage = [word() for _ in range(400)]
+    docs = spark.createDataFrame([(k, " ".join([word() for _ in range(30)] + passage + [word() for _ in range(30)])) for k in range(2)], "doc_id long, text string")
+    assert [r.n_repeated for r in chain_dedup.classes(docs).collect()] == [400, 400]
 
 
 def test_pipeline_drops_near_copies(spark):
