@@ -1,13 +1,17 @@
 """Toxicity by weak supervision.
 
 Many voters, each a term of a lexicon, a group of such terms or a pattern, fire or stay silent on a text. A generative
-label model with a hidden class estimates by EM how often each fires in either class, how voters correlate within the
-classes, and how far the given labels can be trusted; it yields a posterior for each labelled text. A linear classifier
-trained on these posteriors scores all texts.
+label model with a hidden class estimates by EM, over a bounded sample of texts with and without labels, how often each
+voter fires in either class and how voters hang together within the classes: each depends on the class and on one other
+voter, in the tree with the most conditional information. A given label is one more voter, silent where there is none. A
+linear classifier trained on the posteriors scores all texts.
 
-Given results: a null or empty text has no terms, and the score of a text on which no voter fires. Without labelled rows,
-or with labels of one kind only, the classifier has fixed weights for the general lexicon. Repeated rows are scored each;
-repeated labels of an id count by majority. Other columns are ignored by the query and kept by `with_scores`.
+The labelled sample is divided by the ids: terms are induced from three quarters, the label model sees the fourth and texts
+without labels. At most MOST_TERMS terms are induced; the ALONE strongest vote by themselves, the others in GROUPS groups.
+
+Given results: a null or empty text has no terms, and the score of a text on which no voter fires. Where no voter of terms
+fires in the sample, the classifier has fixed weights for the general lexicon. Repeated rows are scored each; repeated
+labels of an id count by majority. Other columns are ignored by the query and kept by `with_scores`.
 """
 
 from __future__ import annotations
@@ -25,22 +29,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from readloom.llm.common import append_columns, discard, in_fold, materialise, text_bytes
-from readloom.llm.sample import HELD_OUT, MOST_LABELLED, labelled_sample
+from readloom.llm.sample import HELD_OUT, MOST_LABELLED, MOST_UNLABELLED, training_sample
 
-# A general lexicon in the corpus languages, by kind.
+# A general lexicon in the corpus languages, by kind; none of its words is a common one in another of them.
 LEXICON = {
     "stupidity": "idiot idiots moron morons stupid dumb imbecile fool clown dimwit dumm dummkopf trottel blöd idiote imbécile crétin débile idiota imbécil estúpido tonto",
     "worth": "worthless loser losers pathetic useless failure wertlos versager erbärmlich nul minable raté inútil perdedor patético",
     "disgust": "trash scum filth disgusting vermin garbage vile abschaum dreck widerlich müll ordure vermine dégoûtant basura escoria asqueroso",
-    "threat": "kill die hang shoot rape töten stirb crève tuer matar muérete",
+    "threat": "kill hang shoot rape töten stirb crève tuer matar muérete",
     "profanity": "fuck fucking shit bitch bastard asshole cunt scheiße arschloch hure merde putain salope connard mierda puta cabrón joder",
 }
-#: Letters of a prefix that is a term of its own, for inflected and compound words.
-PREFIX = 5
+#: Letters of the prefixes that are terms of their own, for inflected and compound words.
+PREFIXES = (4, 5)
 #: Terms that may be induced, those that vote alone, and the groups that the others vote in.
 MOST_TERMS, ALONE, GROUPS = 512, 48, 16
 #: The least evidence for a term, as the signed likelihood ratio statistic of its document counts.
-LEAST_EVIDENCE = 20.0
+LEAST_EVIDENCE = 15.0
 PATTERNS = ("shouts", "exclaims", "symbols", "repeats")
 
 _FOLD = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -51,8 +55,14 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def prefixes_of(words: set[bytes]) -> set[bytes]:
-    """A mark and the first bytes of longer words."""
-    return {b"^" + w[:PREFIX] for w in words if len(w) > PREFIX}
+    """A mark and the first letters of longer words."""
+    out = set()
+    for w in words:
+        letters = w if w.isascii() else w.decode()
+        for n in PREFIXES:
+            if len(letters) > n:
+                out.add(b"^" + (w[:n] if letters is w else letters[:n].encode()))
+    return out
 
 
 @dataclass
@@ -143,35 +153,66 @@ def voters_of(terms: list[bytes]) -> tuple[dict[bytes, list[int]], int, list[str
     return column, len(names), names
 
 
-def label_posteriors(votes: np.ndarray, gold: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, dict]:
-    """Posterior of class 1 for each row, from firing voters and given labels, by EM over the hidden class.
-
-    Voters that correlate within the classes share their weight: a voter's log-likelihood ratio is divided by one plus the
-    sum of its positive correlations with the others. The given label is one more voter with its own error rates, which are
-    held below a tenth, so that the hidden class stays the one that the labels mean.
+def tree_of(votes: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Each voter's parent, itself for the first: the spanning tree with the most information between voters given the class."""
+    n, m = votes.shape
+    both = np.zeros((m, m))
+    for weight in (q, 1 - q):
+        total = weight.sum() + 1e-9
+        one = (weight @ votes) / total
+        joint = (votes.T * weight) @ votes / total
+        for a, pa_ in ((1, one), (0, 1 - one)):
+            for b, pb in ((1, one), (0, 1 - one)):
+                p = joint if a and b else (one[:, None] - joint if a else one[None, :] - joint if b else 1 - one[:, None] - one[None, :] + joint)
+                p = np.maximum(p, 1e-12)
+                both += total / n * p * np.log(p / np.maximum(np.outer(pa_, pb), 1e-12))
+    parent, best = np.zeros(m, dtype=int), both[0].copy()
+    left = np.ones(m, dtype=bool)
+    left[0] = False
+    for _ in range(m - 1):
+        k = int(np.argmax(np.where(left, best, -np.inf)))
+        left[k] = False
+        closer = left & (both[k] > best)
+        best[closer], parent[closer] = both[k][closer], k
+    return parent
+
+
+def fires(votes: np.ndarray, weight: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """How often each voter fires where its parent is silent, and where it fires, among rows of these weights; drawn a little to its mean rate."""
+    own = (weight @ votes + 0.01) / (weight.sum() + 1)
+    up = votes[:, parent]
+    there, joint = weight @ up, weight @ (votes * up)
+    with_it = (joint + 2 * own) / (there + 2)
+    without = (weight @ votes - joint + 2 * own) / (weight.sum() - there + 2)
+    top = parent == np.arange(len(parent))
+    return np.clip(np.where(top, own, np.stack([without, with_it])), 1e-6, 1 - 1e-6)
+
+
+def label_posteriors(votes: np.ndarray, gold: np.ndarray, lexicon: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, dict]:
+    """Posterior of class 1 for each row, from firing voters and given labels (nan: none), by EM over the hidden class.
+
+    lexicon: which voters stand for class 1; where one fires is where the hidden class begins, which orients the model. The
+    tree is drawn anew in the first rounds, and stays. The given label is a voter with error rates of its own.
     """
-    q = np.where(gold == 1, 0.95, 0.05)
-    n = len(gold)
-    for _ in range(rounds):
-        prior = np.clip(q.mean(), 1e-3, 1 - 1e-3)
-        p1 = (q @ votes + 0.5 * prior) / (q.sum() + 1)
-        p0 = ((1 - q) @ votes + 0.5 * prior) / ((1 - q).sum() + 1)
-        p1, p0 = np.clip(p1, 1e-5, 1 - 1e-5), np.clip(p0, 1e-5, 1 - 1e-5)
-        rest = votes - np.outer(q, p1) - np.outer(1 - q, p0)
-        spread = rest.T @ rest / n
-        scale = np.sqrt(np.maximum(np.diag(spread), 1e-9))
-        rho = spread / np.outer(scale, scale)
-        np.fill_diagonal(rho, 0)
-        share = 1 / (1 + np.where(rho > 0.1, rho, 0).sum(1))
-        g1 = np.clip((q @ gold + 9) / (q.sum() + 10), 0.9, 0.999)
-        g0 = np.clip(((1 - q) @ gold + 0.1) / ((1 - q).sum() + 10), 0.001, 0.1)
-        ratio = votes @ (share * np.log(p1 / p0)) + (1 - votes) @ (share * np.log((1 - p1) / (1 - p0)))
-        given = np.where(gold == 1, np.log(g1 / g0), np.log((1 - g1) / (1 - g0)))
+    q = np.where(votes[:, lexicon].any(1), 0.9, 0.02)
+    known, ones = ~np.isnan(gold), np.nan_to_num(gold)
+    for turn in range(rounds):
+        prior = np.clip(q.mean(), 1e-4, 1 - 1e-4)
+        if turn < 3:
+            parent = tree_of(votes, q)
+        p1, p0 = fires(votes, q, parent), fires(votes, 1 - q, parent)
+        up = votes[:, parent].astype(int)
+        at = np.arange(votes.shape[1])
+        r1, r0 = p1[up, at], p0[up, at]
+        ratio = np.where(votes > 0, np.log(r1 / r0), np.log((1 - r1) / (1 - r0))).sum(1)
+        g1 = np.clip((q[known] @ ones[known] + 8) / (q[known].sum() + 10), 0.5, 0.99)
+        g0 = np.clip(((1 - q[known]) @ ones[known] + 2) / ((1 - q[known]).sum() + 10), 0.002, 0.5)
+        given = known * np.where(ones == 1, np.log(g1 / g0), np.log((1 - g1) / (1 - g0)))
         q = sigmoid(np.log(prior / (1 - prior)) + ratio + given)
-    return q, {"fires_1": p1, "fires_0": p0, "correlations": rho, "label_1": g1, "label_0": g0, "prior": prior}
+    return q, {"fires_1": p1, "fires_0": p0, "parent": parent, "label_1": g1, "label_0": g0, "prior": prior}
 
 
-def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 0.5, rounds: int = 30) -> np.ndarray:
+def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 2.0, rounds: int = 30) -> np.ndarray:
     """Weights, the constant first, of a logistic regression on soft targets by Newton's method."""
     x = np.hstack([np.ones((len(x), 1)), x])
     w = np.zeros(x.shape[1])
@@ -189,31 +230,32 @@ def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 0.5, rounds: int
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_LABELLED) -> Model:
-    """Learn voters, label model and classifier from at most `most` labelled rows outside the held-out fold."""
-    sample = materialise(labelled_sample(docs, labels, label, most), "labelled")
-    kinds = dict(sample.groupBy("label").count().collect())
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_LABELLED, most_unlabelled: int = MOST_UNLABELLED) -> Model:
+    """Learn voters, label model and classifier from at most `most` labelled rows and `most_unlabelled` others, outside the held-out fold."""
+    sample = materialise(training_sample(docs, labels, label, most, most_unlabelled), "sample")
+    kinds = dict(sample.where("part = 0").groupBy("label").count().collect())
     positives, negatives = kinds.get(1, 0), kinds.get(0, 0)
-    if not positives or not negatives:
-        column, n, names = voters_of([])
-        weights = np.zeros(n + 4)
-        weights[0] = -3
-        weights[1 : 1 + len(LEXICON)] = 4
-        discard(sample)
-        return Model(column, n, weights, names)
-    column, n, names = voters_of(induced_terms(sample, positives, negatives, MOST_TERMS))
+    terms = induced_terms(sample.where("part = 0").select("text", "label"), positives, negatives, MOST_TERMS) if positives and negatives else []
+    column, n, names = voters_of(terms)
     model = Model(column, n, np.zeros(n + 4), names)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = model.features(text_bytes(batch.column(0)))
+            x = model.features(text_bytes(batch.column(0))).astype(np.float32)
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1)], names=["x", "label"])
 
-    got = sorted((bytes(r[0]), r[1]) for r in sample.mapInArrow(rows, "x binary, label int").collect())  # `most` rows at most
+    # `most` + `most_unlabelled` rows at most
+    got = sorted((bytes(r[0]), -1 if r[1] is None else r[1]) for r in sample.where("part > 0").select("text", "label").mapInArrow(rows, "x binary, label int").collect())
     discard(sample)
-    x = np.frombuffer(b"".join(r[0] for r in got)).reshape(len(got), n + 3)
+    x = np.frombuffer(b"".join(r[0] for r in got), dtype=np.float32).reshape(len(got), n + 3).astype(float)
     gold = np.array([r[1] for r in got], dtype=float)
-    target, _ = label_posteriors(x[:, :n], gold)
+    gold[gold < 0] = np.nan
+    lexicon = np.arange(n) < n - len(PATTERNS)
+    if not x[:, :n][:, lexicon].any():
+        model.weights[0] = -3
+        model.weights[1 : 1 + len(LEXICON)] = 4
+        return model
+    target, _ = label_posteriors(x[:, :n], gold, lexicon)
     model.weights = logistic(x, target)
     return model
 
