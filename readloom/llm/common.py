@@ -26,6 +26,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that one vectorised step takes at a time; a longer document is a step of its own.
 STEP_BYTES = 2 << 20
 
+#: Rows of 16 bytes up to which the table of texts with copies is broadcast; a longer one is joined by shuffle.
+COPIED_ROWS = 500_000
+
 _own_dir: list[str] = []
 
 
@@ -89,6 +92,15 @@ def small(table: DataFrame, most: int) -> DataFrame:
     return F.broadcast(table) if table.count() <= most else table
 
 
+def each_text_once(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """(t, text): of rows with equal texts those with the least hash of their id, so that copies are not read on; t: xxhash64 of the text."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.xxhash64(body).alias("t"), F.xxhash64(F.col(id)).alias("i"), body.alias("text"))
+    copied = rows.groupBy(F.col("t").alias("u")).agg(F.min("i").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copied = small(materialise(copied.select("u", "first"), "copied"), COPIED_ROWS)
+    return rows.join(copied, F.col("t") == F.col("u"), "left").where("first is null or first = i").select("t", "text")
+
+
 def local_path(uri: str) -> str | None:
     """The plain path of a file: URI, None for another store."""
     if uri.startswith("file:"):
