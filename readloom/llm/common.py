@@ -47,8 +47,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir[0]}"
 
 
+def own_dir(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables; what is lazily read again stays until `clean_up`."""
+    return f"{shared_dir(spark)}/readloom/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/readloom/{uuid.uuid4().hex}/{name}"
+    return f"{own_dir(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results that were not written by then can't be read any more."""
+    delete_path(spark, own_dir(spark))
+
+
+def tables_now(spark: SparkSession) -> set[str]:
+    """The folders of this application's intermediate tables."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))  # noqa: SLF001
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
+    return {str(f.getPath()) for f in fs.listStatus(path)} if fs.exists(path) else set()
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -68,6 +85,12 @@ def discard(df: DataFrame) -> None:
         delete_path(df.sparkSession, path)
 
 
+def parent_of(df: DataFrame) -> str:
+    """The folder in `own_dir` of a materialised table, as `tables_now` lists it."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._readloom_path).getParent()  # noqa: SLF001
+    return str(path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).makeQualified(path))  # noqa: SLF001
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)  # noqa: SLF001
@@ -142,15 +165,25 @@ def text_steps(column: pa.Array, most: int = STEP_BYTES) -> Iterator[tuple[slice
         yield slice(begin, len(size)), text_bytes(column.slice(begin))
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1 and so on, so that no name clashes with those of an operator; `toDF` gives them back."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
+def place_of(df: DataFrame, name: str) -> str:
+    """What `numbered` calls the column."""
+    return f"c{df.columns.index(name)}"
+
+
 def append_columns(df: DataFrame, text: str, added: list[T.StructField], make: Callable[[], Callable[[list[bytes]], list]]) -> DataFrame:
     """All columns of df, and those in `added` computed from the column `text`, in one Arrow pass without a shuffle.
 
-    `make` runs once a task and returns a function from the rows' bytes to one array a field. Added names must be new.
+    `make` runs once a task and returns a function from the rows' bytes to one array a field. A column of df that has the name
+    of an added one is replaced.
     """
-    clash = {f.name.lower() for f in added} & {c.lower() for c in df.columns}
-    if clash:
-        raise ValueError(f"columns exist already: {sorted(clash)}")
+    clash = {f.name.lower() for f in added}
     at = df.columns.index(text)
+    stay = [k for k, c in enumerate(df.columns) if c.lower() not in clash]
     types = [pa_type(f.dataType) for f in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,9 +193,9 @@ def append_columns(df: DataFrame, text: str, added: list[T.StructField], make: C
                 continue
             parts = [fn(texts) for _, texts in text_steps(batch.column(at))]
             new = [pa.array(np.concatenate([np.asarray(p[k]) for p in parts]), type=t) if not pa.types.is_string(t) else pa.array([x for p in parts for x in p[k]], type=t) for k, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *(f.name for f in added)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in stay), *new], names=[*(batch.schema.names[k] for k in stay), *(f.name for f in added)])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *added]))
+    return df.mapInArrow(run, T.StructType([*(df.schema.fields[k] for k in stay), *added]))
 
 
 def pa_type(kind: T.DataType) -> pa.DataType:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.llm.common import WORD, materialise, small
+from readloom.llm.common import WORD, discard, materialise, numbered, place_of, small
 
 WEIGHTS = (1, 2, 3)
 #: Most copies of a document, and about how many documents a block has.
@@ -176,15 +176,17 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
 
 def mixed_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """docs with each row as often as it is taken, all columns as they were."""
-    taken = mix(docs, id, text, source).groupBy(F.col("h").alias("_h"), F.col(id).alias("_id")).agg(F.count(F.lit(1)).alias("_n"), F.array_sort(F.collect_list("copies")).alias("_copies"))
+    rows, id, text, source = numbered(docs), place_of(docs, id), place_of(docs, text), place_of(docs, source)
+    own = rows.columns
+    taken = mix(rows, id, text, source).groupBy(F.col("h").alias("_h"), F.col(id).alias("_id")).agg(F.count(F.lit(1)).alias("_n"), F.array_sort(F.collect_list("copies")).alias("_copies"))
     taken = materialise(taken, "copies")
-    rows = docs.withColumns({"_key": unit_key(F.col(id), F.col(text), F.col(source))})
+    rows = rows.withColumns({"_key": unit_key(F.col(id), F.col(text), F.col(source))})
     same = lambda a, b: (a["_key"] == b["_h"]) & a[id].eqNullSafe(b["_id"])
     once, more = (small(taken.where(x), COPY_ROWS) for x in ("_n = 1", "_n > 1"))
-    single = rows.join(once, same(rows, once)).select(*[rows[c] for c in docs.columns], F.get("_copies", F.lit(0)).alias("_times"))
+    single = rows.join(once, same(rows, once)).select(*[rows[c] for c in own], F.get("_copies", F.lit(0)).alias("_times"))
     if not more.isEmpty():
-        single = single.union(several_rows(rows, more, same, docs.columns))
-    return single.where("_times > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_time")).drop("_time")
+        single = single.union(several_rows(rows, more, same, own))
+    return single.where("_times > 0").select(*own, F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*own).toDF(*docs.columns)
 
 
 def several_rows(rows: DataFrame, more: DataFrame, same, columns: list[str]) -> DataFrame:

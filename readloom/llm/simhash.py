@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from readloom.llm.common import append_columns, discard, materialise, small
+from readloom.llm.common import append_columns, discard, materialise, numbered, place_of, small
 from readloom.llm.components import connected_components, roots, unite
 
 ALL = (1 << 64) - 1
@@ -277,18 +277,19 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", find=compo
 
     `find` gives the components, by default by fingerprints. Of rows that repeat that id with texts of the component, the smallest hash of the text decides, then the columns' values.
     """
-    found = find(docs, id, text).select(F.col(id).alias("_id"), F.col("t").alias("_t"), "root")
+    rows, id, text = numbered(docs), place_of(docs, id), place_of(docs, text)
+    found = materialise(find(rows, id, text).select(F.col(id).alias("_id"), F.col("t").alias("_t"), "root"), "found")
     first = found.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_t")).alias("m")).select("m._id", "m._t")
     count = found.groupBy("_id", "_t").agg(F.count(F.lit(1)).alias("_n")).withColumnsRenamed({"_id": "_i", "_t": "_k"})
     keep = materialise(first.join(count, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_t") == F.col("_k"))).select("_id", "_t", "_n"), "kept")
-    same = docs[id].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("_t"))
+    discard(found)
+    same = rows[id].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(rows[text], F.lit(""))) == F.col("_t"))
     once, more = (small(keep.where(x), KEEP_ROWS) for x in ("_n = 1", "_n > 1"))
-    single = docs.join(once, same, "left_semi")
-    if more.isEmpty():
-        return single
-    row = F.min(F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)])).alias("_row")
-    one = docs.join(more, same).groupBy("_id", "_t").agg(row)
-    return single.union(one.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)]))
+    single = rows.join(once, same, "left_semi")
+    if not more.isEmpty():
+        row = F.min(F.struct(*[rows[c] for c in rows.columns])).alias("_row")
+        single = single.union(rows.join(more, same).groupBy("_id", "_t").agg(row).select("_row.*"))
+    return single.toDF(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

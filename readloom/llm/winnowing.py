@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import LOWER, UPPER, ascii_lower, materialise, small
+from readloom.llm.common import LOWER, UPPER, ascii_lower, discard, materialise, numbered, place_of, small
 
 #: What separates words once A-Z are lower case.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -78,31 +78,33 @@ def text_key(text: Column) -> list[Column]:
 def hits(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(k1, k2, n_hit, n_items, items_sha256) for each distinct text with a hit."""
     item_words = items.select(F.col(item).cast("string").alias("item"), words(F.col(item_text)).alias("w")).where("size(w) > 0")
-    item_words = materialise(item_words, "items")
+    made = [item_words := materialise(item_words, "items")]
     lengths = sorted(r[0] for r in item_words.where(F.size("w") < window).select(F.size("w")).distinct().collect())  # below `window`
     every = [*lengths, window]
     sizes = F.least(F.size("w"), F.lit(window))
     listed = F.explode_outer(F.array_distinct(F.transform(F.coalesce(*[F.when(sizes == m, spans("w", m)) for m in every]), lambda x: F.struct(x["m"].alias("m"), x["h1"].alias("h1"), x["h2"].alias("h2")))))
     windows = item_words.select("item", listed.alias("x")).groupBy("x.m", "x.h1", "x.h2").agg(F.array_sort(F.collect_set("item")).alias("items"))
     # many windows have the same items: a window carries a name of its list
-    windows = materialise(windows.withColumn("list", F.xxhash64(F.lit(3), "items")), "windows")
+    made.append(windows := materialise(windows.withColumn("list", F.xxhash64(F.lit(3), "items")), "windows"))
     marks = fingerprints(item_words, [], window, gram).select(F.explode_outer("fp").alias("fp")).where("fp is not null")
     if lengths:
         marks = marks.union(windows.where(F.col("m") < window).select("h1"))
-    marks = small(materialise(marks.distinct(), "marks"), BROADCAST_ROWS)
+    made.append(marks := materialise(marks.distinct(), "marks"))
+    marks = small(marks, BROADCAST_ROWS)
 
     read = docs.select(*text_key(F.col(text)), words(F.col(text)).alias("w"))
     own = fingerprints(read, ["k1", "k2"], window, gram)
     rows = own.select("k1", "k2", F.explode_outer("fp").alias("fp"))
     for m in lengths:
         rows = rows.union(read.select("k1", "k2", F.explode_outer(F.transform(spans("w", m), lambda x: x["h1"]))))
-    candidates = small(materialise(rows.join(marks, "fp", "left_semi").select("k1", "k2").distinct(), "candidates"), BROADCAST_ROWS)
+    made.append(candidates := materialise(rows.join(marks, "fp", "left_semi").select("k1", "k2").distinct(), "candidates"))
+    candidates = small(candidates, BROADCAST_ROWS)
 
     near = docs.select(*text_key(F.col(text)), F.col(text).alias("text")).join(candidates, ["k1", "k2"], "left_semi")
     near = near.dropDuplicates(["k1", "k2"]).select("k1", "k2", words(F.col("text")).alias("w"))
     found = near.select("k1", "k2", F.explode_outer(F.flatten(F.filter(F.array(*[spans("w", m) for m in every]), lambda x: x.isNotNull()))).alias("x"))
     found = found.select("k1", "k2", "x.*").join(small(windows.select("m", "h1", "h2", "list"), BROADCAST_ROWS), ["m", "h1", "h2"])
-    found = materialise(found.select("k1", "k2", "at", "m", "list"), "hits")
+    made.append(found := materialise(found.select("k1", "k2", "at", "m", "list"), "hits"))
 
     # of each hit, the words beyond all earlier ends
     covered = """sum(greatest(0, at + m - greatest(at, coalesce(before, at)))) as n_hit"""
@@ -111,7 +113,10 @@ def hits(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "ite
     lists = windows.groupBy("list").agg(F.first("items").alias("items"))
     named = found.select("k1", "k2", "list").distinct().join(lists, "list").groupBy("k1", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     named = named.select("k1", "k2", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"))
-    return materialise(n_hit.join(named, ["k1", "k2"]), "hit_texts")
+    out = materialise(n_hit.join(named, ["k1", "k2"]), "hit_texts")
+    for done in made:
+        discard(done)
+    return out
 
 
 def contamination(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", **params) -> DataFrame:
@@ -131,11 +136,12 @@ def contamination(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: s
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", **params) -> DataFrame:
     """docs without the contaminated ones, all columns as they were."""
-    found = small(hits(docs, items, text, **params).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("n_hit").alias("_n_hit")), BROADCAST_ROWS)
+    rows, text = numbered(docs), place_of(docs, text)
+    found = small(hits(rows, items, text, **params).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("n_hit").alias("_n_hit")), BROADCAST_ROWS)
     k1, k2 = text_key(F.col(text))
-    rows = docs.withColumns({"_t1": k1, "_t2": k2}).join(found, (F.col("_t1") == F.col("_k1")) & (F.col("_t2") == F.col("_k2")), "left")
+    marked = rows.withColumns({"_t1": k1, "_t2": k2}).join(found, (F.col("_t1") == F.col("_k1")) & (F.col("_t2") == F.col("_k2")), "left")
     keep = F.col("_n_hit").isNull() | (20 * F.col("_n_hit") < F.size(words(F.col(text))))
-    return rows.where(keep).select(*[F.col(c) for c in docs.columns])
+    return marked.where(keep).select(*rows.columns).toDF(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -448,7 +448,7 @@ def test_hot_seeds_go_on_as_rows(spark, monkeypatch):
     assert all(r[2] == 0 and r[3] >= 60 for r in plain[:40]) and all(r[2] == r[0] and r[3] == 0 for r in plain[40:])
 
 
-def test_extension_is_not_capped(spark, monkeypatch):
+def test_long_passages_are_found_whole(spark, monkeypatch):
     monkeypatch.setattr(chain_dedup, "MARGIN", 4)
     rng = random.Random(25)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
@@ -561,6 +561,96 @@ def test_trees_are_monotonic():
     assert ((forest.score(x) > 0.5) == y).mean() > 0.75
 
 
-def test_appended_names_must_be_new(docs):
-    with pytest.raises(ValueError):
-        ngram_lm.with_scores(docs, ngram_lm.Model("", 2, 0, 0, 0, np.zeros(4), np.zeros(4), 1.0))
+def test_columns_with_an_appended_name_are_replaced(docs):
+    model = ngram_lm.Model("", 2, 0, 0, 0, np.zeros(4), np.zeros(4), 1.0)
+    assert ngram_lm.with_scores(docs, model).columns == [*(c for c in docs.columns if c != "score"), "n_tokens", "n_known", "base_score", "score"]
+
+
+# the pipeline and the queries
+
+
+def test_stages_keep_columns_whatever_their_names(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(30)
+    extra = ["_id", "_t", "_n_hit", "_times", "_toxicity", "root", "fp", "score", "k1", "_key", "h", "size", "copies", "c0", "shard"]
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(20, 120))) for _ in range(60)]
+    texts += [texts[0], texts[1], "", "", None, "you idiot moron scum trash", " ".join(texts[2].split()[:-1])]
+    rows = [(k, t, "abc"[k % 3] if k % 7 else None, *[k] * len(extra)) for k, t in enumerate(texts)]
+    rows += [rows[4], (None, "no id", None, *[0] * len(extra))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c}` int" for c in extra)).repartition(3)
+    spark.createDataFrame([(1, " ".join(texts[5].split()[:18])), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in range(10)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for given in (docs, docs.limit(0)):
+        now = given
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = common.materialise(stage(spark, now, str(tmp_path)), name)
+            assert after.columns == docs.columns and (name == "mixing" or after.count() <= now.count())
+            if name == "toxicity" and given is docs:
+                assert after.where("text like '%idiot%'").isEmpty()
+            if name == "simhash" and given is docs:
+                assert after.where("text is not null and text <> ''").groupBy("text").count().where("count > 1").isEmpty()
+            if name == "winnowing" and given is docs:
+                assert after.where("doc_id = 5").isEmpty() and after.count() == now.count() - 1
+            now = after
+        placed = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path))
+        assert placed.count() == now.count() and placed.columns[0] == "doc_id"
+
+
+def test_pipeline_runs_and_leaves_no_tables(spark):
+    import corpus_pipeline
+
+    before = common.tables_now(spark)
+    found = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert found.count() > 100 and common.tables_now(spark) - before == {common.parent_of(found)}
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    shards = defaultdict(list)
+    for r in found.collect():
+        assert r.size == len((docs[r.doc_id] or "").encode()) + 8
+        shards[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in shards.values())
+
+
+COLUMNS = {
+    "op1_toxicity": [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")],
+    "op3_ngram_lm": [("doc_id", "bigint"), ("held_out", "boolean"), ("n_tokens", "bigint"), ("n_known", "bigint"), ("train_tokens", "bigint"), ("base_score", "double"), ("score", "double")],
+    "op5_cube_mixing": [("doc_id", "bigint"), ("size", "bigint"), ("source_size", "bigint"), ("target", "double"), ("taken", "bigint")],
+    "op7_simhash": [("doc_id", "bigint"), ("fingerprint", "string"), ("component_id", "bigint")],
+    "op8_ring_sharding": [("doc_id", "bigint"), ("size", "bigint"), ("text_crc32", "bigint"), ("law", "string"), ("shard", "int"), ("slot", "bigint"), ("grown_shard", "int")],
+    "op9_winnowing": [("doc_id", "bigint"), ("n_words", "bigint"), ("n_hit", "bigint"), ("n_items", "bigint"), ("items_sha256", "string"), ("contaminated", "boolean")],
+    "op10_quality_trees": [("doc_id", "bigint"), ("n_words", "bigint"), ("word_chars", "bigint"), ("n_symbols", "bigint"), ("n_dup_lines", "bigint"), ("n_repeat_words", "bigint"), ("base_failed", "boolean"), ("kept", "boolean")],
+}
+
+
+@pytest.mark.parametrize("name", sorted(COLUMNS))
+def test_queries_return_what_the_contract_says(spark, name):
+    from readloom.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = queries.QUERIES[name](spark, sf)
+    assert found.dtypes[: len(COLUMNS[name])] == COLUMNS[name]
+    rows = found.collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    for r in rows:
+        text, fold = docs[r.doc_id].text or "", zlib.crc32(str(r.doc_id).encode())
+        words = SPACE.findall(text)
+        if name == "op1_toxicity":
+            assert r.held_out == (fold % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
+        elif name == "op3_ngram_lm":
+            assert r.held_out == (fold % 10 == 0) and r.n_tokens == len(words) + 1 and r.n_known <= r.n_tokens and r.score < 0
+        elif name == "op5_cube_mixing":
+            assert r.size == len(words) and r.taken <= 3 * r.size and (not r.size or r.taken % r.size == 0)
+        elif name == "op7_simhash":
+            assert r.fingerprint == f"{brute_fingerprint(text):016x}" and r.component_id <= r.doc_id
+        elif name == "op8_ring_sharding":
+            assert r.size == len(text.encode()) + 8 and r.text_crc32 == zlib.crc32(text.encode()) and r.law == "bytes" and r.grown_shard is None
+        elif name == "op9_winnowing":
+            assert r.n_words == len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))) and r.contaminated == (r.n_hit > 0 and 20 * r.n_hit >= r.n_words)
+        else:
+            assert r.n_words == len(words) and r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.base_failed and r.kept)
+    if name == "op5_cube_mixing":
+        for source in {d.source for d in docs.values()}:
+            own = [r for r in rows if docs[r.doc_id].source == source]
+            assert sum(r.size for r in own) == own[0].source_size and abs(sum(r.taken for r in own) - own[0].target) <= 0.02 * own[0].target
