@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import os
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -221,6 +222,10 @@ def _counts(rows: list, k: int) -> np.ndarray:
     return np.concatenate([np.frombuffer(r[k], np.uint32 if len(r[k]) < len(r[1]) else np.uint64).astype(np.uint64) for r in rows]) if rows else np.zeros(0, np.uint64)
 
 
+#: Tokens, words and bigrams; words after 1, 2, 3, 4 and more than 2 contexts; bigrams seen 1, 2, 3 and 4 times.
+TOTALS = ["tokens", "words", "followers", "b1", "b2", "b3", "b4", "b3more", "n1", "n2", "n3", "n4"]
+
+
 def word_shards(path: str):
     """mapInArrow over sums by word: writes a shard's file, and returns totals for the discounts."""
 
@@ -235,7 +240,7 @@ def word_shards(path: str):
             key, count, before, *after = sums(*columns)
             write_file(f"{path}/words/{shard}", [key, count, *(x.astype(np.uint32) for x in (before, *after))])
             total = [int(count.sum()), int((count > 0).sum()), int(before.sum()), *(int((before == k).sum()) for k in (1, 2, 3, 4)), int((before > 2).sum()), *low.tolist()]
-            yield packed([pa.array([total], pa.list_(pa.int64()))], ["total"])
+            yield packed([pa.array([x], pa.int64()) for x in total], TOTALS)
 
     return run
 
@@ -265,8 +270,11 @@ class Model:
     low_spread: float
 
     def reader(self):
-        """A function from texts to their scores, over files that are mapped as they are first needed."""
-        maps: dict[tuple[str, int], list[np.ndarray]] = {}
+        """A function from texts to their scores, over files that a worker process maps as they are first needed, for all its tasks."""
+        known = vars(sys).setdefault("_readloom_maps", {})  # this module comes to each task by value, and so can't hold them
+        if self.path not in known:
+            known.clear()
+        maps = known.setdefault(self.path, {})
 
         def opened(kind: str, shard: int) -> list[np.ndarray]:
             if (kind, shard) not in maps:
@@ -338,10 +346,9 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     path = new_path(spark, "bigram_model")
     kinds = ", ".join(f"{c} binary" for c in "abcdef")
     counted = rows.mapInArrow(counter(bits), f"shard int, {kinds}")
-    n = 1 << bits
-    summed = counted.repartitionById(n, F.col("shard")).sortWithinPartitions("shard").mapInArrow(bigram_shards(path, bits), "shard int, kind int, a binary, b binary, c binary, d binary")
-    totals = summed.repartitionById(n, F.col("shard")).sortWithinPartitions("shard").mapInArrow(word_shards(path), "total array<long>").collect()  # a row a shard
-    t = [sum(x) for x in zip(*(r[0] for r in totals))] or [0] * 12
+    summed = dealt(counted, bits).mapInArrow(bigram_shards(path, bits), "shard int, kind int, a binary, b binary, c binary, d binary")
+    totals = dealt(summed, bits).mapInArrow(word_shards(path), ", ".join(f"{c} long" for c in TOTALS))
+    t = [x or 0 for x in totals.agg(*[F.sum(c) for c in TOTALS]).first()]
     tokens, kinds_seen, followers, b1, b2, b3, b4, b3more = t[:8]
     low = discounts([b1, b2, b3, b4])
     spread = float(low[1:] @ np.array([b1, b2, b3more])) / followers if followers else 1.0

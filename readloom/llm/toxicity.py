@@ -9,9 +9,9 @@ linear classifier trained on the posteriors scores all texts.
 The labelled sample is divided by the ids: terms are induced from three quarters, the label model sees the fourth and texts
 without labels. At most MOST_TERMS terms are induced; the ALONE strongest vote by themselves, the others in GROUPS groups.
 
-Given results: a null or empty text has no terms, and the score of a text on which no voter fires. Where no voter of terms
-fires in the sample, the classifier has fixed weights for the general lexicon. Repeated rows are scored each; repeated
-labels of an id count by majority. Other columns are ignored by the query and kept by `with_scores`.
+Given results: a null or empty text has no terms, and the score of a text on which no voter fires. Without labelled
+rows, or with labels of one kind only, the classifier has fixed weights for the general lexicon. Repeated rows are scored
+each; repeated labels of an id count by majority. Other columns are ignored by the query and kept by `with_scores`.
 """
 
 from __future__ import annotations
@@ -235,8 +235,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MO
     sample = materialise(training_sample(docs, labels, label, most, most_unlabelled), "sample")
     kinds = dict(sample.where("part = 0").groupBy("label").count().collect())
     positives, negatives = kinds.get(1, 0), kinds.get(0, 0)
-    terms = induced_terms(sample.where("part = 0").select("text", "label"), positives, negatives, MOST_TERMS) if positives and negatives else []
-    column, n, names = voters_of(terms)
+    if not positives or not negatives:
+        discard(sample)
+        column, n, names = voters_of([])
+        weights = np.zeros(n + 4)
+        weights[0] = -3
+        weights[1 : 1 + len(LEXICON)] = 4
+        return Model(column, n, weights, names)
+    column, n, names = voters_of(induced_terms(sample.where("part = 0").select("text", "label"), positives, negatives, MOST_TERMS))
     model = Model(column, n, np.zeros(n + 4), names)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,10 +257,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MO
     gold = np.array([r[1] for r in got], dtype=float)
     gold[gold < 0] = np.nan
     lexicon = np.arange(n) < n - len(PATTERNS)
-    if not x[:, :n][:, lexicon].any():
-        model.weights[0] = -3
-        model.weights[1 : 1 + len(LEXICON)] = 4
-        return model
     target, _ = label_posteriors(x[:, :n], gold, lexicon)
     model.weights = logistic(x, target)
     return model

@@ -448,8 +448,7 @@ def test_hot_seeds_go_on_as_rows(spark, monkeypatch):
     assert all(r[2] == 0 and r[3] >= 60 for r in plain[:40]) and all(r[2] == r[0] and r[3] == 0 for r in plain[40:])
 
 
-def test_long_passages_are_found_whole(spark, monkeypatch):
-    monkeypatch.setattr(chain_dedup, "MARGIN", 4)
+def test_long_passages_are_found_whole(spark):
     rng = random.Random(25)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     passage = [word() for _ in range(400)]
@@ -522,9 +521,32 @@ def test_label_model_weighs_voters():
     third = np.where(rng.random(4000) < 0.85, y, ~y)
     gold = np.where(rng.random(4000) < 0.05, ~y, y).astype(float)
     votes = np.stack([good, twin, noise, third], axis=1).astype(float)
-    q, learned = toxicity.label_posteriors(votes, gold)
+    none = np.full(4000, np.nan)
+    lexicon = np.array([True, True, False, True])
+    q, learned = toxicity.label_posteriors(votes, gold, lexicon)
     assert ((q > 0.5) == y).mean() > (gold == y).mean()
-    assert learned["correlations"][0, 1] > 0.5 > abs(learned["correlations"][0, 2])
+    # without any label, three voters that are independent within the classes are needed
+    more = np.stack([np.where(rng.random(4000) < share, y, ~y) for share in (0.85, 0.8, 0.9)], axis=1)
+    blind, learned_blind = toxicity.label_posteriors(np.hstack([votes, more]), none, np.array([True, True, False, True, True, True, True]))
+    assert ((blind > 0.5) == y).mean() > 0.93
+    for found in (learned, learned_blind):
+        assert found["parent"][0] == 0 and found["parent"][1] == 0  # the twin depends on its model, not on the class alone
+
+
+def test_tree_and_rates_are_as_counted():
+    rng = np.random.default_rng(5)
+    votes = (rng.random((300, 4)) < 0.4).astype(float)
+    votes[:, 3] = np.where(rng.random(300) < 0.1, 1 - votes[:, 2], votes[:, 2])
+    q = rng.random(300)
+    parent = toxicity.tree_of(votes, q)
+    assert parent[3] == 2 or parent[2] == 3
+    rates = toxicity.fires(votes, q, parent)
+    for j, up in enumerate(parent):
+        own = (q @ votes[:, j] + 0.01) / (q.sum() + 1)
+        for v in (0, 1):
+            there = votes[:, up] == v
+            want = own if up == j else (q[there] @ votes[there, j] + 2 * own) / (q[there].sum() + 2)
+            assert rates[v, j] == pytest.approx(want)
 
 
 def test_quality_statistics(docs, labelled, empty):
