@@ -79,6 +79,14 @@ class ModExperiment:
         grid = self.positions.select(*POSITION).crossJoin(F.broadcast(self.samples.select("sample")))  # samples are the columns of a result
         return grid.join(self.pileup, ["sample", *POSITION], "left").fillna(0, list(columns))
 
+    def read_names(self) -> DataFrame:
+        """(sample, read_id, name) with the name sample-read, which is unique over all samples."""
+        return self.reads.select("sample", "read_id", F.concat_ws("-", "sample", "read_id").alias("name"))
+
+    def per_sample(self, change) -> dict[str, object]:
+        """What `change` makes of the experiment of each sample alone, by sample."""
+        return {r["sample"]: change(self.select_samples(r["sample"])) for r in self.samples.select("sample").collect()}  # the samples are columns of a result
+
     def qscores(self) -> DataFrame:
         return self.reads.select("sample", "read_id", "qscore")
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import warnings
+from collections.abc import Sequence
 
 import numpy as np
 
@@ -117,11 +119,15 @@ def straight_line(x: np.ndarray, y: np.ndarray) -> dict:
     return out | {"low": slope - wide, "high": slope + wide, "p": 2 * (1 - t_cdf(abs(slope / error), n - 2)) if error else 0.0}
 
 
-def estimate_nrl(counts: np.ndarray, mind: int = 140, use_peaks: int = 8, span1: float | None = None, span2: float | None = None) -> dict | None:
-    """Nucleosome repeat length from counts of distances 1, 2, ...: slope of the peaks of the de-trended smooth; None if all are 0."""
+def estimate_nrl(counts: np.ndarray, mind: int = 140, use_peaks: Sequence[int] = (1, 2, 3, 4, 5), span1: float | None = None, span2: float | None = None) -> dict | None:
+    """Nucleosome repeat length from counts of distances 1, 2, ...: slope of the peaks of the de-trended smooth; None, with a warning, if all are 0.
+
+    use_peaks: numbers, from 1, of the peaks that the line is fitted to; of those that there are not, a warning tells.
+    """
     counts = np.asarray(counts, dtype=float)
     n = len(counts)
     if not counts.any() or n <= mind + 3:
+        warnings.warn("the repeat length is not estimated: there are no distances", stacklevel=2)
         return None
     at = np.arange(1, n + 1)
     used = at > mind
@@ -130,12 +136,48 @@ def estimate_nrl(counts: np.ndarray, mind: int = 140, use_peaks: int = 8, span1:
     rest = smooth - trend
     edge = np.flatnonzero(np.diff(np.concatenate([[False], rest >= 0, [False]]).astype(int)))
     peaks = np.array([mind + 1 + a + int(np.argmax(rest[a:b])) for a, b in zip(edge[::2], edge[1::2])], dtype=float)
-    fit = straight_line(np.arange(1, len(peaks[:use_peaks]) + 1, dtype=float), peaks[:use_peaks])
-    return {"nrl": fit["slope"], "nrl_low": fit["low"], "nrl_high": fit["high"], "peaks": peaks, "smooth": smooth, "trend": trend, "residual": rest, "first": mind + 1, "fit": fit}
+    chosen = np.array(sorted({int(k) for k in use_peaks if k <= len(peaks)}), dtype=int)
+    if len(chosen) < len(set(use_peaks)):
+        warnings.warn("there are fewer peaks than were chosen", stacklevel=2)
+    fit = straight_line(chosen.astype(float), peaks[chosen - 1])
+    return {"nrl": fit["slope"], "nrl_low": fit["low"], "nrl_high": fit["high"], "peaks": peaks, "chosen": chosen, "smooth": smooth, "trend": trend, "residual": rest, "first": mind + 1, "fit": fit}
+
+
+def inverse_bands(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The diagonal of the inverse of a symmetric tridiagonal matrix (diagonal a, next to it b), and the two next to it."""
+    n = len(a)
+    down, up = a.astype(float).copy(), a.astype(float).copy()
+    for i in range(1, n):
+        down[i] -= b[i - 1] ** 2 / down[i - 1]
+    for i in range(n - 2, -1, -1):
+        up[i] -= b[i] ** 2 / up[i + 1]
+    main = 1 / (down + up - a)
+    first = -b / up[1:] * main[:-1]
+    return main, first, -b[1:] / up[2:] * first[:-1]
+
+
+def solve_bands(main: np.ndarray, first: np.ndarray, second: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Solution of a symmetric positive definite system of five diagonals."""
+    n = len(main)
+    d, l1, l2, z = main.astype(float).tolist(), [0.0] * n, [0.0] * n, y.astype(float).tolist()
+    first, second = [*first.tolist(), 0.0], [*second.tolist(), 0.0, 0.0]
+    for i in range(n):
+        if i >= 1:
+            d[i] -= l1[i - 1] ** 2 * d[i - 1]
+            z[i] -= l1[i - 1] * z[i - 1]
+        if i >= 2:
+            d[i] -= l2[i - 2] ** 2 * d[i - 2]
+            z[i] -= l2[i - 2] * z[i - 2]
+        l1[i] = (first[i] - (l1[i - 1] * l2[i - 1] * d[i - 1] if i else 0.0)) / d[i]
+        l2[i] = second[i] / d[i]
+    x = [v / w for v, w in zip(z, d)]
+    for i in range(n - 2, -1, -1):
+        x[i] -= l1[i] * x[i + 1] + (l2[i] * x[i + 2] if i + 2 < n else 0.0)
+    return np.array(x)
 
 
 def smoothing_spline(x: np.ndarray, y: np.ndarray, spar: float = 0.01) -> np.ndarray:
-    """A natural cubic smoothing spline at the points themselves; repeated x share the mean of their y."""
+    """A natural cubic smoothing spline at the points themselves; repeated x share the mean of their y. Time and memory grow as the points."""
     x, y = np.asarray(x, dtype=float), np.asarray(y, dtype=float)
     knots, place, weight = np.unique(x, return_inverse=True, return_counts=True)
     mean = np.bincount(place, y) / weight
@@ -143,15 +185,20 @@ def smoothing_spline(x: np.ndarray, y: np.ndarray, spar: float = 0.01) -> np.nda
     if n < 4:
         return mean[place]
     h = np.diff((knots - knots[0]) / (knots[-1] - knots[0]))
-    q, r = np.zeros((n, n - 2)), np.zeros((n - 2, n - 2))
-    for j in range(n - 2):
-        q[j : j + 3, j] = 1 / h[j], -1 / h[j] - 1 / h[j + 1], 1 / h[j + 1]
-        r[j, j] = (h[j] + h[j + 1]) / 3
-        if j + 1 < n - 2:
-            r[j, j + 1] = r[j + 1, j] = h[j + 1] / 6
-    k = q @ np.linalg.solve(r, q.T)
-    penalty = weight.sum() / np.trace(k) * 256.0 ** (3 * spar - 1)
-    return np.linalg.solve(np.diag(weight.astype(float)) + penalty * k, weight * mean)[place]
+    left, right = 1 / h[:-1], 1 / h[1:]
+    mid = -left - right
+    r_main, r_first = (h[:-1] + h[1:]) / 3, h[1:-1] / 6
+    # second differences times themselves, over the weights and plain
+    crossed = lambda v: (left**2 * v[:-2] + mid**2 * v[1:-1] + right**2 * v[2:], mid[:-1] * left[1:] * v[1:-2] + right[:-1] * mid[1:] * v[2:-1], right[:-2] * left[2:] * v[2:-2])
+    trace = sum(k * float(a @ b) for k, a, b in zip((1, 2, 2), inverse_bands(r_main, r_first), crossed(np.ones(n))))
+    penalty = weight.sum() / trace * 256.0 ** (3 * spar - 1)
+    main, first, second = crossed(1 / weight)
+    bend = solve_bands(r_main + penalty * main, r_first + penalty * first, penalty * second, left * mean[:-2] + mid * mean[1:-1] + right * mean[2:])
+    back = np.zeros(n)
+    back[:-2] += left * bend
+    back[1:-1] += mid * bend
+    back[2:] += right * bend
+    return (mean - penalty * back / weight)[place]
 
 
 def ward_order(d: np.ndarray) -> list[int]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.experiment import POSITION, ModExperiment
@@ -118,15 +118,14 @@ def pacf_of(lags: tuple[int, int]):
     return run
 
 
-def ordered_calls(calls: DataFrame, seqinfo: DataFrame | None = None) -> DataFrame:
-    """(sample, read_id, x): the values of each read by sequence, strand and position. A read bounds an array's length."""
+def ordered_calls(calls: DataFrame, seqinfo: DataFrame | None = None) -> tuple[DataFrame, Column]:
+    """calls, and the aggregate of a read's values by sequence, strand and position. A read bounds an array's length."""
     rank = F.lit(0)
     if seqinfo is not None:
         calls, rank = calls.join(F.broadcast(seqinfo.select("chrom", "chrom_ord")), "chrom", "left"), F.col("chrom_ord")  # a row a sequence
     strand = F.when(F.col("strand") == "+", 1).when(F.col("strand") == "-", 2).otherwise(3)
     item = F.struct(rank.alias("o"), F.col("chrom"), strand.alias("s"), "pos", "mod_prob")
-    arrays = calls.groupBy("sample", "read_id").agg(F.array_sort(F.collect_list(item)).alias("x"))
-    return arrays.select("sample", "read_id", F.transform("x", lambda v: v["mod_prob"]).alias("x"))
+    return calls, F.transform(F.array_sort(F.collect_list(item)), lambda v: v["mod_prob"])
 
 
 def lag1_difference(x):
@@ -151,16 +150,18 @@ def calc_read_stats(
     positions, calls = filter_calls(experiment, regions, context)
     calls = filter_coverage(calls, positions, experiment.samples, least_reads)
     scalars = {k: v for k, v in scalar_statistics(low_conf).items() if k in statistics}
-    found = calls.groupBy("sample", "read_id").agg(F.count(F.lit(1)).alias("n_obs"), *[v.alias(k) for k, v in scalars.items()])
     zeros = F.array_repeat(F.lit(0.0), lags[1] - lags[0] + 1)
     kernel = {
         "sentr_mod_prob": (per_read(entropy_of, "double"), None), "lag1d_mod_prob": (lag1_difference, None),
         "ac_mod_prob": (per_read(acf_of(lags, acf_true_lag), "array<double>"), zeros), "pac_mod_prob": (per_read(pacf_of(lags), "array<double>"), zeros),
     }
     asked = {k: v for k, v in kernel.items() if k in statistics}
+    arrays = []
     if asked:
-        arrays = ordered_calls(calls, experiment.seqinfo)
-        found = found.join(arrays.select("sample", "read_id", *[f(F.col("x")).alias(k) for k, (f, _) in asked.items()]), ["sample", "read_id"])
+        calls, values = ordered_calls(calls, experiment.seqinfo)
+        arrays = [values.alias("_x")]
+    found = calls.groupBy("sample", "read_id").agg(F.count(F.lit(1)).alias("n_obs"), *[v.alias(k) for k, v in scalars.items()], *arrays)
+    found = found.select("sample", "read_id", "n_obs", *scalars, *[f(F.col("_x")).alias(k) for k, (f, _) in asked.items()])
     out = experiment.reads.select("sample", "read_id").join(found, ["sample", "read_id"], "left").fillna(0, ["n_obs"])
     enough = F.col("n_obs") > least_calls if least_calls > 0 else F.lit(True)
     for name in statistics:
@@ -171,6 +172,9 @@ def calc_read_stats(
 
 
 def add_read_stats(experiment: ModExperiment, **options) -> ModExperiment:
-    lags = options.get("lags", (12, 64))
-    meta = {"least_reads": options.get("least_reads"), "lags": list(range(lags[0], lags[1] + 1)), "statistics": list(options.get("statistics", STATISTICS))}
+    """The experiment with calc_read_stats, and the parameters: least_reads by sample, as used (a row a sample is read for it)."""
+    lags, least = options.get("lags", (12, 64)), options.get("least_reads")
+    positions, calls = filter_calls(experiment, options.get("regions"), options.get("context"))
+    used = coverage_thresholds(positions, experiment.samples, calls) if least is None else experiment.samples.select("sample", F.lit(least).cast("long").alias("least"))
+    meta = {"least_reads": {r["sample"]: r["least"] for r in used.collect()}, "lags": list(range(lags[0], lags[1] + 1)), "statistics": list(options.get("statistics", STATISTICS))}
     return experiment.with_(read_stats=calc_read_stats(experiment, **options), stats_meta=meta)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -42,10 +44,10 @@ def modbase_spacing(calls: DataFrame, least_prob: float = 0.5, pool_reads: bool
     return whole.select(*key, F.explode(F.sequence(F.lit(1), F.lit(dmax))).alias("d")).join(counts, [*key, "d"], "left").fillna(0, ["n"])
 
 
-_SERIES = "d int, count double, smooth double, trend double, residual double, is_peak boolean, nrl double, nrl_low double, nrl_high double, r2 double, p double"
+_SERIES = "d int, count double, smooth double, trend double, residual double, is_peak boolean, nrl double, nrl_low double, nrl_high double, intercept double, r2 double, p double"
 
 
-def _series(mind: int, use_peaks: int, span1, span2, key: list[str]):
+def _series(mind: int, use_peaks: Sequence[int], span1, span2, key: list[str]):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("d")
         counts = np.zeros(int(group["d"].max()))
@@ -62,14 +64,14 @@ def _series(mind: int, use_peaks: int, span1, span2, key: list[str]):
         peaks = found["peaks"].astype(int) if found else []
         out["is_peak"] = np.isin(np.arange(1, n + 1), peaks)
         fit = found["fit"] if found else {}
-        out |= {"nrl": fit.get("slope"), "nrl_low": fit.get("low"), "nrl_high": fit.get("high"), "r2": fit.get("r2"), "p": fit.get("p")}
-        return pd.DataFrame(out).astype({c: float for c in ("nrl", "nrl_low", "nrl_high", "r2", "p")})
+        out |= {"nrl": fit.get("slope"), "nrl_low": fit.get("low"), "nrl_high": fit.get("high"), "intercept": fit.get("intercept"), "r2": fit.get("r2"), "p": fit.get("p")}
+        return pd.DataFrame(out).astype({c: float for c in ("nrl", "nrl_low", "nrl_high", "intercept", "r2", "p")})
 
     return run
 
 
-def spacing_series(spacing: DataFrame, mind: int = 140, use_peaks: int = 8, span1: float | None = None, span2: float | None = None) -> DataFrame:
-    """For each sample and d: count, smooth, trend, residual, peaks, and the fit of the repeat length. A group has dmax rows."""
+def spacing_series(spacing: DataFrame, mind: int = 140, use_peaks: Sequence[int] = (1, 2, 3, 4, 5), span1: float | None = None, span2: float | None = None) -> DataFrame:
+    """For each sample and d: count, smooth, trend, residual, peaks, and the line through the peaks of the given numbers. A group has dmax rows."""
     key = [c for c in ("sample", "read_id") if c in spacing.columns]
     fields = ", ".join(f"{k} string" for k in key)
     rows = spacing.select(*key, F.col("d").cast("int"), F.col("n").cast("double"))

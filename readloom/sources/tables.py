@@ -144,16 +144,24 @@ def read_modkit_extract(spark: SparkSession, files, modbase: str | list[str] | d
         limits = limits.union(pairs.select("sample", "call_code", F.coalesce(*[F.when(F.col("call_code") == c, F.lit(float(v))) for c, v in filter.items()]).alias("value"), F.lit("filter")))
     rows = derive_calls(filter_extracted(rows, filter))
     positions = rows.select("chrom", (F.col("ref_position") + 1).cast("int").alias("pos"), F.col("ref_strand").alias("strand")).distinct()
-    reads = registry(rows.select("sample", "read_id", "scan_ord", F.lit(None).cast("double").alias("qscore")))
+    reads = registry(rows.select("sample", "read_id", "scan_ord", F.lit(None).cast("double").alias("qscore")), bits=24)
     samples = sample_table(spark, {s: codes[s] for s in names}, reads)
     return ModExperiment(samples, positions, reads, observations(rows), thresholds=limits, seqinfo=seqinfo_frame(spark, seqinfo, positions))
 
 
-def registry(rows: DataFrame) -> DataFrame:
-    """Reads in first-seen order of (sample, read_id, scan_ord, qscore); qscore is the first one."""
+def registry(rows: DataFrame, bits: int | None = None) -> DataFrame:
+    """Reads in first-seen order of (sample, read_id, scan_ord, qscore); qscore is the first one.
+
+    bits: where scan_ord is a long, its reads are numbered by stretches of 2 ** bits of it, each after the reads of those
+    before, so that no task has to order all reads of a sample.
+    """
     first = rows.groupBy("sample", "read_id").agg(F.min("scan_ord").alias("_first"), F.min_by("qscore", "scan_ord").alias("qscore"))
-    place = F.row_number().over(Window.partitionBy("sample").orderBy("_first"))
-    return first.withColumn("read_ord", place.cast("int")).select("sample", "read_id", "read_ord", "qscore")
+    first = first.withColumn("_part", F.lit(0).cast("long") if bits is None else F.shiftright("_first", bits))
+    counts = first.groupBy("sample", "_part").agg(F.count(F.lit(1)).alias("_n"))  # a row a stretch
+    before = Window.partitionBy("sample").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("sample", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("sample", "_part").orderBy("_first")) + F.col("_before")
+    return first.join(counts, ["sample", "_part"]).withColumn("read_ord", place.cast("int")).select("sample", "read_id", "read_ord", "qscore")
 
 
 def sample_table(spark: SparkSession, codes: dict[str, str], reads: DataFrame) -> DataFrame:
@@ -164,7 +172,7 @@ def sample_table(spark: SparkSession, codes: dict[str, str], reads: DataFrame) -
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(chrom, seq): names up to the first blank. A sequence is one row; cut it with operators.context.tiles."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.length(F.trim("value")) > 0)
+    records = spark.read.option("lineSep", "\n>").text(path).withColumn("value", F.regexp_replace("value", r"^>", "")).where(F.length(F.trim("value")) > 0)
     name = F.regexp_extract("value", r"^([^ \t\r\n]*)", 1)
     seq = F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", ""))
     return records.select(name.alias("chrom"), seq.alias("seq"))

@@ -63,7 +63,7 @@ GOLDEN = [
 
 def rows_of(path, modbase="a", regions=None):
     with modbam.opened(str(path)) as f:
-        return list(modbam.decode(f, modbase, regions))
+        return [tuple(r.values()) for batch in modbam.decode(f, modbase, regions) for r in batch.to_pylist()]
 
 
 def test_decoded_records(tmp_path):
