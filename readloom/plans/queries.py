@@ -11,13 +11,15 @@ from readloom.experiment import POSITION, ModExperiment
 from readloom.functions.sequence import canonical_base, complement, iupac_regex, row_name
 from readloom.operators import context, ranges, reads, readstats, spacing, summarize, tracks
 from readloom.plans import views
-from readloom.sources import tables
+from readloom.sources import modbam, sinks, tables
+from readloom.storage import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-DMAX, WIDTH, STEP = 200, 7, 500
+DMAX, WIDTH = 1000, 7
 
 _VIEWS = f"""calls AS ({views.CALLS}), modkit AS ({views.MODKIT}), pileup0 AS ({views.PILEUP}), regions AS ({views.REGIONS}), bases AS ({views.BASES}),
+calls2 AS ({views.CALLS_TWO}), regions2 AS ({views.REGIONS_TWO}),
 pileup AS (SELECT *, CAST(start0 + 1 AS INT) AS pos FROM pileup0), positions AS (SELECT DISTINCT chrom, pos, strand FROM calls), samples AS (SELECT DISTINCT sample FROM calls)"""
 
 
@@ -76,14 +78,14 @@ def sum_over_regions_keepzero(spark, sf_dir):
     return summarize.sum_over_regions(rows, views.regions(spark, sf_dir), rows.select("sample").distinct(), keep_zero=True)
 
 
-@query("SELECT (SELECT count(*) FROM positions p WHERE NOT EXISTS (SELECT 1 FROM regions r WHERE r.chrom = p.chrom AND p.pos BETWEEN rstart AND rend AND r.region_idx % 3 = 0)) AS n_dropped, (SELECT count(*) FROM positions) AS n_positions")
+@query("SELECT (SELECT count(*) FROM positions p WHERE NOT EXISTS (SELECT 1 FROM regions r WHERE r.chrom = p.chrom AND p.pos BETWEEN rstart AND rend)) AS n_dropped, (SELECT count(*) FROM positions) AS n_positions")
 def positions_dropped(spark, sf_dir):
-    return summarize.positions_dropped(experiment(spark, sf_dir).positions, views.regions(spark, sf_dir).where("region_idx % 3 = 0"))
+    return summarize.positions_dropped(experiment(spark, sf_dir).positions, views.regions(spark, sf_dir))
 
 
-@query("SELECT sample, read_id, chrom, pos, strand, mod_prob FROM calls c WHERE EXISTS (SELECT 1 FROM regions r WHERE r.chrom = c.chrom AND c.pos BETWEEN rstart AND rend AND r.region_idx % 5 = 0)")
+@query("SELECT sample, read_id, chrom, pos, strand, mod_prob FROM calls c WHERE EXISTS (SELECT 1 FROM regions r WHERE r.chrom = c.chrom AND c.pos BETWEEN rstart AND rend)")
 def region_filter(spark, sf_dir):
-    return ranges.overlap_semi(views.view(spark, sf_dir, views.CALLS), views.regions(spark, sf_dir).where("region_idx % 5 = 0"))
+    return ranges.overlap_semi(views.view(spark, sf_dir, views.CALLS), views.regions(spark, sf_dir))
 
 
 @query(f"{_MERGED} SELECT * FROM merged")
@@ -187,10 +189,10 @@ def read_stats_entropy(spark, sf_dir):
 
 
 @query(f"""{_ORDERED}, d AS (SELECT *, x - avg(x) OVER (PARTITION BY sample, read_id) AS v FROM o), t AS (SELECT sample, read_id, sum(v * v) AS total FROM d GROUP BY ALL),
-k AS (SELECT unnest(range(12, 17)) AS k), a AS (SELECT d.sample, d.read_id, k, sum(d.v * e.v) AS s FROM d JOIN k ON true JOIN d e ON e.sample = d.sample AND e.read_id = d.read_id AND e.i = d.i + k - 1 GROUP BY ALL)
-SELECT r.sample, r.read_id, CAST(k - 1 AS INT) AS lag, round(CASE WHEN n_obs <= 16 THEN 0 ELSE s / total END, 9) AS ac FROM r JOIN k ON true LEFT JOIN a USING (sample, read_id, k) LEFT JOIN t ON t.sample = r.sample AND t.read_id = r.read_id""")
+k AS (SELECT unnest(range(12, 65)) AS k), a AS (SELECT d.sample, d.read_id, k, sum(d.v * e.v) AS s FROM d JOIN k ON true JOIN d e ON e.sample = d.sample AND e.read_id = d.read_id AND e.i = d.i + k - 1 GROUP BY ALL)
+SELECT r.sample, r.read_id, CAST(k - 1 AS INT) AS lag, round(CASE WHEN n_obs <= 64 THEN 0 ELSE s / total END, 9) AS ac FROM r JOIN k ON true LEFT JOIN a USING (sample, read_id, k) LEFT JOIN t ON t.sample = r.sample AND t.read_id = r.read_id""")
 def read_stats_acf(spark, sf_dir):
-    found = stats(spark, sf_dir, "ac_mod_prob", lags=(12, 16))
+    found = stats(spark, sf_dir, "ac_mod_prob")
     return found.select("sample", "read_id", F.posexplode("ac_mod_prob").alias("at", "ac")).select("sample", "read_id", (F.col("at") + 11).alias("lag"), F.round("ac", 9).alias("ac"))
 
 
@@ -220,13 +222,13 @@ def spacing_all_samples(spark, sf_dir):
 
 @query()
 def nrl_estimate(spark, sf_dir):
-    found = spacing.estimate_nrl(spacing.modbase_spacing(views.view(spark, sf_dir, views.CALLS), dmax=1000))
+    found = spacing.estimate_nrl(spacing.modbase_spacing(views.view(spark, sf_dir, views.CALLS)))
     return found.select("sample", *[F.round(c, 6).alias(c) for c in ("nrl", "nrl_low", "nrl_high")], F.size("peaks").alias("n_peaks"))
 
 
 @query()
 def spacing_series(spark, sf_dir):
-    found = spacing.spacing_series(spacing.modbase_spacing(views.view(spark, sf_dir, views.CALLS), dmax=1000))
+    found = spacing.spacing_series(spacing.modbase_spacing(views.view(spark, sf_dir, views.CALLS)))
     return found.select("sample", "d", "count", F.round("smooth", 6).alias("smooth"), F.round("residual", 6).alias("residual"), "is_peak")
 
 
@@ -285,17 +287,17 @@ def subset_reads_invert(spark, sf_dir):
     return subset(spark, sf_dir, True)
 
 
-@query("r AS (SELECT chrom, rstart AS s, rend AS e FROM regions WHERE region_idx % 4 <> 1), f AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS fresh FROM r), i AS (SELECT *, sum(fresh) OVER (PARTITION BY chrom ORDER BY s, e) AS island FROM f) SELECT chrom, min(s) AS start, max(e) AS \"end\" FROM i GROUP BY chrom, island")
+@query("r AS (SELECT chrom, rstart AS s, rend AS e FROM regions), f AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS fresh FROM r), i AS (SELECT *, sum(fresh) OVER (PARTITION BY chrom ORDER BY s, e) AS island FROM f) SELECT chrom, min(s) AS start, max(e) AS \"end\" FROM i GROUP BY chrom, island")
 def merge_regions(spark, sf_dir):
-    return ranges.merge_regions(views.regions(spark, sf_dir).where("region_idx % 4 <> 1"))
+    return ranges.merge_regions(views.regions(spark, sf_dir))
 
 
-_TRACK = "t AS (SELECT CAST(pos AS INT) AS position, sample, round(count(*) FILTER (mod_prob >= 0.5) / count(*), 12) AS value, chrom, strand FROM calls WHERE pos BETWEEN 1 AND 500 GROUP BY pos, sample, chrom, strand)"
+_TRACK = "t AS (SELECT CAST(pos AS INT) AS position, sample, round(count(*) FILTER (mod_prob >= 0.5) / count(*), 12) AS value, chrom, strand FROM calls GROUP BY pos, sample, chrom, strand)"
 
 
 def track(spark, sf_dir, **options):
     e = summarize.add_reads_summary(experiment(spark, sf_dir), keep_reads=True)
-    return tracks.region_data(e, "chr1:1-500", **options)
+    return tracks.region_data(e, **options)
 
 
 @query(f"{_TRACK} SELECT position, sample, value FROM t")
@@ -303,7 +305,7 @@ def track_summary(spark, sf_dir):
     return rounded(track(spark, sf_dir)["frac_mod"]["points"])
 
 
-@query("SELECT pos AS position, read_id AS read, sample, mod_prob AS value FROM calls WHERE pos BETWEEN 1 AND 500")
+@query("SELECT pos AS position, read_id AS read, sample, mod_prob AS value FROM calls")
 def track_reads(spark, sf_dir):
     return track(spark, sf_dir, tracks_reads={"mod_prob": "Lollipop"})["mod_prob"]["points"]
 
@@ -313,12 +315,12 @@ def modbase_space(spark, sf_dir):
     return rounded(track(spark, sf_dir, modbase=True)["frac_mod"]["points"])
 
 
-@query("SELECT read_id AS read, any_value(sample) AS sample, CAST(min(pos) AS INT) AS first, CAST(max(pos) AS INT) AS last FROM calls WHERE pos BETWEEN 1 AND 500 GROUP BY read_id")
+@query("SELECT read_id AS read, any_value(sample) AS sample, CAST(min(pos) AS INT) AS first, CAST(max(pos) AS INT) AS last FROM calls GROUP BY read_id")
 def read_extents(spark, sf_dir):
     return track(spark, sf_dir, tracks_reads={"mod_prob": "Lollipop"})["mod_prob"]["segments"]
 
 
-@query("t AS (SELECT read_id AS read, pos, mod_prob FROM calls WHERE pos BETWEEN 1 AND 500) SELECT read, CAST(floor((pos - (SELECT min(pos) FROM t)) / 25) AS BIGINT) AS bin, round(avg(mod_prob), 12) AS value FROM t GROUP BY ALL")
+@query("t AS (SELECT read_id AS read, pos, mod_prob FROM calls) SELECT read, CAST(floor((pos - (SELECT min(pos) FROM t)) / 25) AS BIGINT) AS bin, round(avg(mod_prob), 12) AS value FROM t GROUP BY ALL")
 def binned_read_means(spark, sf_dir):
     return rounded(tracks.binned_means(track(spark, sf_dir, tracks_reads={"mod_prob": "Lollipop"})["mod_prob"]["points"]))
 
@@ -342,13 +344,172 @@ def read_stats_hist(spark, sf_dir):
     return found.withColumns({c: F.round(c, 9) for c in ("low", "high")})
 
 
-@query("SELECT read_id, max(mod_prob) FILTER (pos = 100) AS p100, max(mod_prob) FILTER (pos = 200) AS p200 FROM calls WHERE pos IN (100, 200) GROUP BY read_id")
+@query("""SELECT chrom, pos, strand, max(mod_prob) FILTER (read_id = 'A-7') AS "A-7", max(mod_prob) FILTER (read_id = 'N-7') AS "N-7", max(mod_prob) FILTER (read_id = 'R-7') AS "R-7" FROM calls WHERE read_id IN ('A-7', 'N-7', 'R-7') GROUP BY ALL""")
 def dense_view(spark, sf_dir):
-    calls = views.view(spark, sf_dir, views.CALLS).where("pos IN (100, 200)")
-    return calls.groupBy("read_id").pivot("pos", [100, 200]).agg(F.max("mod_prob")).withColumnsRenamed({"100": "p100", "200": "p200"})
+    return reads.subset_reads(experiment(spark, sf_dir), ["A-7", "N-7", "R-7"]).dense()
 
 
 @query("SELECT sample, read_id, chrom, pos, strand, mod_prob FROM calls WHERE sample <> 'N' UNION ALL SELECT 'N2', read_id, chrom, pos, strand, mod_prob FROM calls WHERE sample = 'N'")
 def bind_samples(spark, sf_dir):
     e = experiment(spark, sf_dir)
     return e.select_samples("A", "R").bind(e.select_samples("N").renamed({"N": "N2"})).calls
+
+
+# written files, read back
+
+
+def by_sample(rows: DataFrame, write) -> list[tuple[str, str]]:
+    """(sample, path) of a file for each sample, in the order of their names."""
+    out = []
+    for r in rows.select("sample").distinct().orderBy("sample").collect():  # the samples are the files
+        out.append((r["sample"], new_path(rows.sparkSession, r["sample"])))
+        write(rows.where(F.col("sample") == r["sample"]).drop("sample"), out[-1][1])
+    return out
+
+
+@query(f"{_MERGED} SELECT sample, chrom, pos, strand, CAST(n_mod AS BIGINT) AS n_mod, CAST(n_valid AS BIGINT) AS n_valid FROM merged")
+def bedmethyl_files(spark, sf_dir):
+    return tables.read_bedmethyl(spark, by_sample(merged(spark, sf_dir), sinks.write_bedmethyl)).pileup
+
+
+def extract_files(spark, sf_dir):
+    return dict(by_sample(views.view(spark, sf_dir, views.MODKIT), sinks.write_extract))
+
+
+@query(f"{_DERIVED} {_OBSERVED} GROUP BY ALL")
+def extract_table_files(spark, sf_dir):
+    return rounded(tables.read_modkit_extract(spark, extract_files(spark, sf_dir), "m").calls)
+
+
+@query("codes AS (SELECT sample, code AS call_code FROM samples, (VALUES ('m'), ('-')) v(code)), found AS (SELECT c.sample, c.call_code, max(call_prob) FILTER (fail) AS value FROM codes c LEFT JOIN modkit m ON m.sample = c.sample AND m.call_code = c.call_code GROUP BY ALL) SELECT sample, call_code, 'modkit' AS kind, value FROM found UNION ALL SELECT sample, call_code, 'filter', CASE call_code WHEN 'm' THEN 0.8e0 ELSE 0.7e0 END FROM codes")
+def extract_file_thresholds(spark, sf_dir):
+    return tables.read_modkit_extract(spark, extract_files(spark, sf_dir), "m", {"m": 0.8, "-": 0.7}).thresholds.select("sample", "call_code", "kind", "value")
+
+
+@query(f"{_CONTEXT} SELECT * FROM x")
+def fasta_contexts(spark, sf_dir):
+    bases = views.view(spark, sf_dir, views.BASES).groupBy("chrom").agg(F.array_sort(F.collect_list(F.struct("pos", "base"))).alias("b"))
+    path = new_path(spark, "reference")
+    sinks.write_fasta(bases.select("chrom", F.array_join(F.transform("b", lambda x: x["base"]), "").alias("seq")), path)
+    return context.add_seq_context(experiment(spark, sf_dir), WIDTH, context.tiles(tables.read_fasta(spark, path))).positions
+
+
+_QUALITY = "CAST(round(mod_prob * 256 - 0.5) AS INT)"
+
+
+def bam_files(spark, sf_dir, silent):
+    calls = views.view(spark, sf_dir, views.CALLS).withColumn("quality", F.expr(_QUALITY))
+    folder, length = new_path(spark, "bam"), calls.agg(F.max("pos")).first()[0]
+    sinks.write_modbam(calls, folder, {"chr1": length}, silent=silent)
+    return {r["sample"]: f"{folder}/{r['sample']}.bam" for r in calls.select("sample").distinct().orderBy("sample").collect()}  # a file each
+
+
+@query(f"SELECT sample, read_id, chrom, pos, strand, ({_QUALITY} + 0.5) / 256 AS mod_prob FROM calls")
+def bam_calls(spark, sf_dir):
+    return modbam.read_modbam(spark, bam_files(spark, sf_dir, "?"), None, "a").calls
+
+
+@query(f"near AS (SELECT sample, read_id FROM calls GROUP BY ALL HAVING min(pos) <= 4 AND max(pos) >= 2) SELECT sample, read_id, chrom, pos, strand, ({_QUALITY} + 0.5) / 256 AS mod_prob FROM calls SEMI JOIN near USING (sample, read_id)")
+def bam_region(spark, sf_dir):
+    return modbam.read_modbam(spark, bam_files(spark, sf_dir, "?"), ["chr1:2-4"], "a").calls
+
+
+@query(f"ends AS (SELECT sample, read_id, chrom, strand, min(pos) AS lo, max(pos) AS hi FROM calls GROUP BY ALL), spans AS (SELECT sample, read_id, chrom, strand, unnest(range(lo, hi + 1)) AS place FROM ends), w AS (SELECT sample, read_id, chrom, CAST(place AS INT) AS pos, strand FROM spans) SELECT sample, read_id, chrom, pos, strand, coalesce(({_QUALITY} + 0.5) / 256, 0.02) AS mod_prob FROM w LEFT JOIN calls USING (sample, read_id, chrom, pos, strand)")
+def bam_implied_calls(spark, sf_dir):
+    return modbam.read_modbam(spark, bam_files(spark, sf_dir, "."), None, "a").calls
+
+
+@query("r AS (SELECT sample, read_id, min(pos) AS start FROM calls GROUP BY ALL) SELECT sample, read_id, CAST(row_number() OVER (PARTITION BY sample ORDER BY start, read_id) AS INT) AS read_ord, 20e0 AS qscore FROM r")
+def bam_reads(spark, sf_dir):
+    return modbam.read_modbam(spark, bam_files(spark, sf_dir, "?"), None, "a").reads
+
+
+# two sequences and both strands
+
+
+def experiment_two(spark, sf_dir) -> ModExperiment:
+    e, calls = experiment(spark, sf_dir), views.view(spark, sf_dir, views.CALLS_TWO)
+    return e.with_(calls=calls, positions=calls.select(*POSITION).distinct())
+
+
+@query("SELECT sample, read_id, chrom, pos, strand, mod_prob FROM calls2 c WHERE EXISTS (SELECT 1 FROM regions2 r WHERE r.chrom = c.chrom AND c.pos BETWEEN rstart AND rend AND (r.strand = '*' OR r.strand = c.strand))")
+def stranded_region_filter(spark, sf_dir):
+    return ranges.overlap_semi(experiment_two(spark, sf_dir).calls, views.regions(spark, sf_dir, views.REGIONS_TWO))
+
+
+@query("p AS (SELECT sample, chrom, pos, strand, count(*) FILTER (mod_prob >= 0.5) AS n_mod, count(*) AS n_valid FROM calls2 GROUP BY ALL) SELECT region_idx, region, sample, CAST(sum(n_mod) AS BIGINT) AS n_mod, CAST(sum(n_valid) AS BIGINT) AS n_valid FROM p JOIN regions2 r ON p.chrom = r.chrom AND pos BETWEEN rstart AND rend AND (r.strand = '*' OR r.strand = p.strand) GROUP BY ALL")
+def sum_over_stranded_regions(spark, sf_dir):
+    e = summarize.add_reads_summary(experiment_two(spark, sf_dir), statistics=("n_mod", "n_valid"))
+    return summarize.sum_over_regions(e.pileup, views.regions(spark, sf_dir, views.REGIONS_TWO))
+
+
+@query(f"m AS (SELECT * FROM calls2 WHERE mod_prob >= 0.5), n AS (SELECT a.sample, b.pos - a.pos AS d, count(*) AS n FROM m a JOIN m b ON a.sample = b.sample AND a.read_id = b.read_id AND a.chrom = b.chrom AND b.pos > a.pos AND b.pos - a.pos <= {DMAX} GROUP BY ALL), ds AS (SELECT CAST(unnest(range(1, {DMAX + 1})) AS INT) AS d) SELECT s.sample, ds.d, coalesce(n, 0) AS n FROM samples s CROSS JOIN ds LEFT JOIN n ON n.sample = s.sample AND n.d = ds.d")
+def spacing_two_sequences(spark, sf_dir):
+    return spacing.modbase_spacing(experiment_two(spark, sf_dir).calls)
+
+
+_ORDERED_TWO = "o AS (SELECT sample, read_id, mod_prob, row_number() OVER (PARTITION BY sample, read_id ORDER BY CASE chrom WHEN 'chr2' THEN 1 ELSE 2 END, CASE strand WHEN '+' THEN 1 WHEN '-' THEN 2 ELSE 3 END, pos) AS i FROM calls2)"
+
+
+@query(f"{_ORDERED_TWO}, l AS (SELECT sample, read_id, abs(mod_prob - lag(mod_prob) OVER (PARTITION BY sample, read_id ORDER BY i)) AS gap FROM o WHERE mod_prob > 0.5), m AS (SELECT sample, read_id, round(avg(gap), 12) AS lag1d_mod_prob FROM l GROUP BY ALL), r AS (SELECT sample, read_id, count(*) AS n_obs FROM calls2 GROUP BY ALL) SELECT sample, read_id, n_obs, lag1d_mod_prob FROM r LEFT JOIN m USING (sample, read_id)")
+def read_stats_by_seqinfo(spark, sf_dir):
+    e = experiment_two(spark, sf_dir)
+    e = e.with_(seqinfo=tables.seqinfo_frame(spark, ["chr2", "chr1"], e.positions))
+    return rounded(readstats.calc_read_stats(e, statistics=("lag1d_mod_prob",), least_reads=1))
+
+
+@query("SELECT chrom, CAST(row_number() OVER (ORDER BY chrom) AS INT) AS chrom_ord, CAST(NULL AS INT) AS length FROM (SELECT DISTINCT chrom FROM calls2)")
+def sequences(spark, sf_dir):
+    return tables.seqinfo_frame(spark, None, experiment_two(spark, sf_dir).positions)
+
+
+# the container, and what comes with the statistics
+
+
+@query("SELECT DISTINCT sample, read_id, concat(sample, '-', read_id) AS name FROM calls")
+def read_names(spark, sf_dir):
+    return experiment(spark, sf_dir).read_names()
+
+
+@query("SELECT sample, count(*) AS n_calls, count(DISTINCT read_id) AS n_reads FROM calls GROUP BY sample")
+def counts_per_sample(spark, sf_dir):
+    each = experiment(spark, sf_dir).per_sample(lambda e: e.calls.groupBy("sample").agg(F.count(F.lit(1)).alias("n_calls"), F.countDistinct("read_id").alias("n_reads")))
+    first, *rest = each.values()
+    for x in rest:
+        first = first.union(x)
+    return first
+
+
+@query("SELECT (SELECT count(*) FROM calls) AS n_calls, (SELECT count(*) FROM (SELECT DISTINCT sample, chrom, pos, strand FROM calls)) AS n_pileup, (SELECT count(*) FROM calls WHERE mod_prob >= 0.5) AS n_mod")
+def summary_keeps_reads(spark, sf_dir):
+    e = summarize.add_reads_summary(experiment(spark, sf_dir), keep_reads=True)
+    return e.calls.agg(F.count(F.lit(1)).alias("n_calls")).crossJoin(e.pileup.agg(F.count(F.lit(1)).alias("n_pileup"), F.sum("n_mod").alias("n_mod")))  # a row
+
+
+@query("SELECT sample, read_id, chrom, pos, strand, mod_prob, round(greatest(mod_prob, 1 - mod_prob), 12) AS conf FROM calls")
+def added_assay(spark, sf_dir):
+    e = experiment(spark, sf_dir).with_assay("conf", F.greatest("mod_prob", 1 - F.col("mod_prob")))
+    return rounded(e.calls.select("sample", "read_id", *POSITION, *e.read_level_assays()))
+
+
+@query(f"{_COVERAGE} SELECT * FROM least")
+def read_stats_parameters(spark, sf_dir):
+    e = readstats.add_read_stats(experiment(spark, sf_dir), statistics=("frac_mod",))
+    return spark.createDataFrame(sorted(e.stats_meta["least_reads"].items()), "sample string, least long")
+
+
+@query("s AS (SELECT sample, read_id, count(*) AS n_obs, round(avg(mod_prob), 12) AS v FROM calls GROUP BY ALL) SELECT sample, read_id, n_obs, CASE WHEN n_obs > 190 THEN v END AS mean_mod_prob FROM s")
+def read_stats_of_long_reads(spark, sf_dir):
+    return rounded(stats(spark, sf_dir, "mean_mod_prob", least_reads=1, least_calls=190))
+
+
+@query("m AS (SELECT min(pos) AS low FROM calls), b AS (SELECT read_id, floor((pos - low) / 25) AS bin, avg(mod_prob) AS v FROM calls, m GROUP BY ALL) SELECT a.read_id AS read, b.read_id AS other, count(*) AS n, round(corr(a.v, b.v), 9) AS r FROM b a JOIN b ON a.bin = b.bin AND a.read_id < b.read_id GROUP BY ALL HAVING count(*) > 1")
+def read_correlations(spark, sf_dir):
+    found = tracks.read_correlations(tracks.reads_track(views.view(spark, sf_dir, views.CALLS)))
+    return found.withColumn("r", F.round("r", 9))
+
+
+@query("c AS (SELECT p_partkey, substr('mhfcgebTUaAoGnNX', CAST(1 + p_partkey % 16 AS INT), 1) AS code FROM part) SELECT p_partkey, code, CASE WHEN code IN ('m', 'h', 'f', 'c') THEN 'C' WHEN code IN ('g', 'e', 'b', 'T') THEN 'T' WHEN code = 'U' THEN 'U' WHEN code IN ('a', 'A') THEN 'A' WHEN code IN ('o', 'G') THEN 'G' ELSE 'N' END AS base FROM c")
+def canonical_bases(spark, sf_dir):
+    codes = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.substring(F.lit("mhfcgebTUaAoGnNX"), (1 + F.col("p_partkey") % 16).cast("int"), F.lit(1)).alias("code"))
+    return codes.withColumn("base", canonical_base(F.col("code")))

@@ -32,6 +32,13 @@ REGIONS = """
 SELECT n_nationkey AS region_idx, n_name AS region, 'chr1' AS chrom, n_nationkey * 100 + 1 AS rstart, n_nationkey * 100 + 150 AS rend, '*' AS strand
 FROM nation"""
 
+#: The calls on two sequences, and regions of either strand on both.
+CALLS_TWO = CALLS.replace("'chr1' AS chrom", "CASE WHEN l_partkey % 3 = 0 THEN 'chr2' ELSE 'chr1' END AS chrom")
+REGIONS_TWO = """
+SELECT n_nationkey AS region_idx, n_name AS region, CASE WHEN n_nationkey % 2 = 0 THEN 'chr1' ELSE 'chr2' END AS chrom,
+       n_nationkey * 100 + 1 AS rstart, n_nationkey * 100 + 150 AS rend, substr('+-*', CAST(n_nationkey % 3 + 1 AS INT), 1) AS strand
+FROM nation"""
+
 BASES = """
 SELECT 'chr1' AS chrom, CAST(p_partkey + 1 AS INT) AS pos, substr('ACGT', CAST(1 + (p_size * 3 + length(p_name)) % 4 AS INT), 1) AS base
 FROM part"""
@@ -42,8 +49,8 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql.replace(f"FROM {table}", "FROM {" + table + "}"), **{table: spark.read.parquet(f"{sf_dir}/{table}.parquet")})
 
 
-def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, REGIONS).withColumnsRenamed({"rstart": "start", "rend": "end"})
+def regions(spark: SparkSession, sf_dir: str, sql: str = REGIONS) -> DataFrame:
+    return view(spark, sf_dir, sql).withColumnsRenamed({"rstart": "start", "rend": "end"})
 
 
 def pileup(spark: SparkSession, sf_dir: str) -> DataFrame:

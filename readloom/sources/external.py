@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import shutil
 import subprocess
-import tempfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from readloom.functions.sequence import regions_frame
 from readloom.operators.ranges import merge_regions
+from readloom.storage import new_path
 
 
 def modkit_version(modkit: str | None = None) -> str | None:
@@ -39,10 +41,19 @@ def modkit_extract(spark: SparkSession, bam: str, out: str, regions: list[str] |
     if regions:
         rows = merge_regions(regions_frame(spark, regions)).orderBy("chrom", "start").collect()  # the caller's regions
         merged = [f"{r['chrom']}:{r['start']}-{r['end']}" for r in rows]
-    with tempfile.TemporaryDirectory() as folder:
-        for command in extract_commands(tool, bam, merged, folder, num_reads, extra):
-            subprocess.run(command, check=True, capture_output=True)
-        files = sorted(str(p) for p in Path(folder).glob("*.tsv"))
-        rows = spark.read.option("sep", "\t").option("header", True).csv(files).dropDuplicates()
-        rows.write.option("sep", "\t").option("header", True).csv(out)
+    commands = extract_commands(tool, bam, merged, raw := new_path(spark, "extracted"), num_reads, extra)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for command in batch["command"]:
+                target = command[-1].removeprefix("file:")
+                Path(target).parent.mkdir(parents=True, exist_ok=True)
+                subprocess.run([*command[:-1], target], check=True, capture_output=True)
+            yield batch[["at"]]
+
+    # a task a region; the tool writes to a path, so that the shared folder must be mounted where it runs
+    table = spark.createDataFrame(list(enumerate(commands)), "at int, command array<string>")
+    table.repartitionByRange(len(commands), "at").mapInPandas(run, "at int").count()
+    rows = spark.read.option("sep", "\t").option("header", True).csv(raw).dropDuplicates()
+    rows.write.option("sep", "\t").option("header", True).csv(out)
     return spark.read.option("sep", "\t").option("header", True).csv(out)

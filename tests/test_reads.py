@@ -107,7 +107,7 @@ def test_statistics_filters(spark, experiment):
     limits = {r.sample: r.least for r in readstats.coverage_thresholds(experiment.positions, experiment.samples, experiment.calls).collect()}
     assert limits["A"] == least
     kept = readstats.add_read_stats(experiment, statistics=("frac_mod",))
-    assert kept.stats_meta["lags"][0] == 12 and kept.read_stats.count() == 12
+    assert kept.stats_meta["least_reads"] == limits and kept.stats_meta["lags"][0] == 12 and kept.read_stats.count() == 12
     kept.validate()
     with pytest.raises(ValueError):
         readstats.calc_read_stats(experiment.with_(positions=experiment.positions.drop("seq_context")), context="GCH")
@@ -183,6 +183,47 @@ def test_kernels():
     assert {frozenset(order[:3]), frozenset(order[3:])} == {frozenset({0, 1, 5}), frozenset({2, 3, 4})}
 
 
+def test_repeat_length_of_chosen_peaks():
+    at = np.arange(1, 1201)
+    counts = 1000 + 300 * np.cos(2 * np.pi * (at - 185) / 185)
+    five = kernels.estimate_nrl(counts)
+    assert five["nrl"] == pytest.approx(185, abs=2) and five["chosen"].tolist() == [1, 2, 3, 4, 5]
+    some = kernels.estimate_nrl(counts, use_peaks=[2, 4])
+    assert some["nrl"] == pytest.approx((some["peaks"][3] - some["peaks"][1]) / 2)
+    with pytest.warns(UserWarning, match="fewer peaks"):
+        assert kernels.estimate_nrl(counts, use_peaks=range(1, 50))["chosen"].max() < 10
+    with pytest.warns(UserWarning, match="no distances"):
+        assert kernels.estimate_nrl(np.zeros(500)) is None
+
+
+def test_banded_spline_equals_dense():
+    rng = np.random.default_rng(7)
+    x, spar = rng.integers(0, 90, 70).astype(float), 0.6
+    y = np.sin(x / 9) + rng.random(70)
+    knots, place, w = np.unique(x, return_inverse=True, return_counts=True)
+    n, mean, h = len(knots), np.bincount(place, y) / w, np.diff((knots - knots[0]) / (knots[-1] - knots[0]))
+    q, r = np.zeros((n, n - 2)), np.zeros((n - 2, n - 2))
+    for j in range(n - 2):
+        q[j : j + 3, j] = 1 / h[j], -1 / h[j] - 1 / h[j + 1], 1 / h[j + 1]
+        r[j, j] = (h[j] + h[j + 1]) / 3
+        if j + 1 < n - 2:
+            r[j, j + 1] = r[j + 1, j] = h[j + 1] / 6
+    bend = q @ np.linalg.solve(r, q.T)
+    want = np.linalg.solve(np.diag(w.astype(float)) + w.sum() / np.trace(bend) * 256.0 ** (3 * spar - 1) * bend, w * mean)[place]
+    assert np.allclose(kernels.smoothing_spline(x, y, spar), want)
+
+
+def test_ranks_in_stretches(spark, monkeypatch):
+    from readloom.sources import tables
+
+    rows = spark.createDataFrame([("s", f"r{k % 7}", k, float(k)) for k in range(60)] + [("t", "r0", 3, 1.0)], "sample string, read_id string, scan_ord long, qscore double")
+    whole = {tuple(r) for r in tables.registry(rows).collect()}
+    assert whole == {tuple(r) for r in tables.registry(rows, 1).collect()} and ("s", "r6", 7, 6.0) in whole
+    monkeypatch.setattr(tracks, "STRETCH", 10)
+    points = spark.createDataFrame([(p, 1.0) for p in (5, 5, 9, 10, 31, 31, 999)], "position int, value double")
+    assert sorted(r.position for r in tracks.modbase_space(points).collect()) == [1, 1, 2, 3, 4, 4, 5]
+
+
 def test_tracks(spark, experiment):
     e = summarize.add_reads_summary(experiment, keep_reads=True, statistics=("n_mod", "n_valid"))
     data = tracks.region_data(e, "chr1:1-200", {"mod_prob": "Heatmap"}, {"frac_mod": "PointSmooth", "n_valid": "Point"}, context="GCH")
@@ -207,6 +248,7 @@ def test_container(spark, experiment):
     assert experiment.select_samples("A").samples.count() == 1
     row = experiment.positions.first()
     assert experiment.select_rows(f"{row.chrom}:{row.pos}:{row.strand}").positions.count() == 1
+    assert experiment.read_names().where("name = 'A-A-r0'").count() == 1 and set(experiment.per_sample(lambda e: e.calls.count())) == {"A", "B"}
     assert len(experiment.dense().columns) == 15 and experiment.qscores().count() == 12 and experiment.repeated_calls() == 0
     broken = {
         "unknown reads": experiment.with_(reads=experiment.reads.limit(3)), "repeated samples": experiment.with_(samples=experiment.samples.union(experiment.samples)),

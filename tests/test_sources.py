@@ -117,6 +117,18 @@ def test_bam_errors(tmp_path, spark):
         modbam.read_modbam(spark, str(tmp_path / "a.bam"), None, "Z")
 
 
+def test_a_region_reads_to_its_end_only(tmp_path):
+    broken = struct.pack("<i", 40) + struct.pack("<ii", 0, 7_000_000) + b"no record at all" * 2
+    later = record("later", 0, 6940010, [("3", "M")], "AAC", [9] * 3, mods("A+a,0;", [128]))
+    write_bam(tmp_path / "a.bam", [*READS, later, broken])
+    regions = [("chr1", 6940001, 6940011)]
+    with modbam.opened(str(tmp_path / "a.bam")) as f:
+        found = [row["read_id"] for batch in modbam.decode(f, "a", regions, in_order=True) for row in batch.to_pylist()]
+    assert set(found) == {"artificial-read-1", "artificial-read-2", "later"} and len(found) == 8 + 2
+    with modbam.opened(str(tmp_path / "a.bam")) as f:
+        assert [b.num_rows for b in modbam.decode(f, "a", [("chr1", 1, 6940000)], in_order=True)] == []
+
+
 def bed_line(chrom, start, code, strand, valid, mod):
     return "\t".join(map(str, [chrom, start, start + 1, code, valid, strand, start, start + 1, "0,0,0", valid, 50.0, mod, valid - mod, 0, 0, 0, 0, 0]))
 
@@ -165,7 +177,7 @@ def test_modkit_extract(spark, tmp_path):
 
 def test_fasta_and_contexts(spark, tmp_path):
     seq = "".join("ACGGTTAC"[i * i % 8] for i in range(53))
-    (tmp_path / "r.fa").write_text(f">chr1 first one\n{seq[:20]}\n{seq[20:].lower()}\n>chr2\nACGT\n")
+    (tmp_path / "r.fa").write_text(f">chr1 first > one\n{seq[:20]}\n{seq[20:].lower()}\n>chr2\nACGT\n")
     reference = tables.read_fasta(spark, str(tmp_path / "r.fa"))
     assert {(r.chrom, r.seq) for r in reference.collect()} == {("chr1", seq), ("chr2", "ACGT")}
     rows = [("chr1", p, s) for p in range(1, 54) for s in "+-*"]
@@ -196,3 +208,11 @@ def test_regions_and_external_tool(spark):
     if not external.modkit_version():
         with pytest.raises(FileNotFoundError):
             external.modkit_extract(spark, "a.bam", os.devnull)
+
+
+def test_external_extraction_runs_each_region(spark, tmp_path):
+    tool = tmp_path / "modkit"
+    tool.write_text('#!/bin/sh\nif [ "$1" = --version ]; then echo 0.1; exit; fi\nfor last; do :; done\nprintf "read_id\\tregion\\nsame\\t-\\nown\\t$4\\n" > "$last"\n')
+    tool.chmod(0o755)
+    found = external.modkit_extract(spark, "a.bam", str(tmp_path / "out"), ["chr1:1-5", "chr1:4-9", "chr2:1-2"], modkit=str(tool))
+    assert {tuple(r) for r in found.collect()} == {("same", "-"), ("own", "chr1:1-9"), ("own", "chr2:1-2")} and found.count() == 3
