@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
 import math
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from readloom.storage import new_path, own_dir
+
 #: Words between ASCII white space: the regular expression, and the same as a table over bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = np.zeros(256, dtype=bool)
@@ -29,33 +27,6 @@ STEP_BYTES = 2 << 20
 #: Rows of 16 bytes up to which the table of texts with copies is broadcast; a longer one is joined by shuffle.
 COPIED_ROWS = 500_000
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for written intermediate tables: spark.checkpoint.dir, which driver and executors share.
-
-    Where that is unset, only a single-process session gets a temporary folder; on a cluster it is an error.
-    """
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="readloom-"))
-        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
-    return f"file://{_own_dir[0]}"
-
-
-def own_dir(spark: SparkSession) -> str:
-    """Where this application keeps its intermediate tables; what is lazily read again stays until `clean_up`."""
-    return f"{shared_dir(spark)}/readloom/{spark.sparkContext.applicationId}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{own_dir(spark)}/{uuid.uuid4().hex}/{name}"
-
-
 def clean_up(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application; results that were not written by then can't be read any more."""
     delete_path(spark, own_dir(spark))
