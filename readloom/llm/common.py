@@ -53,7 +53,7 @@ def discard(df: DataFrame) -> None:
     """Delete a materialised table that nothing reads any more."""
     path = getattr(df, "_readloom_path", None)
     if path:
-        delete_path(df.sparkSession, path)
+        delete_path(df.sparkSession, path.rsplit("/", 1)[0])  # its folder in `own_dir` is its own
 
 
 def parent_of(df: DataFrame) -> str:
