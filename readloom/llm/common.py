@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,9 +81,10 @@ def shard_bits(df: DataFrame, shard_bytes: int) -> int:
     return max(2, math.ceil(math.log2(max(1, size / shard_bytes))))
 
 
-def small(table: DataFrame, most: int) -> DataFrame:
-    """A written table, marked for broadcast if its counted rows are few enough; otherwise joins of it shuffle."""
-    return F.broadcast(table) if table.count() <= most else table
+def small(table: DataFrame, most: int, weight: Column | None = None) -> DataFrame:
+    """A written table, marked for broadcast if its counted rows, or the sum of their weights, are few enough; otherwise joins of it shuffle."""
+    size = table.count() if weight is None else table.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(table) if size <= most else table
 
 
 def each_text_once(docs: DataFrame, id: str, text: str) -> DataFrame:

@@ -18,8 +18,8 @@ from readloom.llm.common import materialise, small
 
 #: Share of a host's pages above which a line is boilerplate, and the least pages that it must be on.
 RATIO, LEAST_PAGES = 0.3, 3
-#: Hosts up to which the table of their boilerplate is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 20_000
+#: Hosts and line hashes of 8 bytes up to which the table of the hosts' boilerplate is broadcast; a larger one is joined by shuffle.
+BROADCAST_VALUES = 1_000_000
 # What leaves a page, what breaks a line, and entities.
 HIDDEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
 BLOCK = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>"
@@ -59,7 +59,7 @@ def clean(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "
     rows = pages.select(F.col(id).alias("id"), host_of(F.col(url)).alias("host"), lines_of(F.col(html)).alias("lines"))
     # a page ends with a line end: the last part is empty
     rows = materialise(rows.select("id", "host", F.slice("lines", 1, F.size("lines") - 1).alias("lines")), "lines")
-    bad = small(materialise(boilerplate(rows, ratio, least_pages), "boilerplate"), BROADCAST_ROWS)
+    bad = small(materialise(boilerplate(rows, ratio, least_pages), "boilerplate"), BROADCAST_VALUES, F.size("bad") + 4)
     kept = F.filter("lines", lambda x: ~F.array_contains("bad", F.xxhash64(x)))
     out = rows.join(bad, "host", "left").select("id", "host", "lines", F.when(F.col("bad").isNull(), F.col("lines")).otherwise(kept).alias("kept"))
     return out.select(F.col("id").alias(id), "host", F.size("lines").alias("n_lines"), (F.size("lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("text"))
