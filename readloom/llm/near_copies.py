@@ -9,6 +9,9 @@ In a bucket, members of one group are not compared with each other: texts are co
 the largest group then with all. A bucket of more than MOST_IN_TASK texts is dealt to several tasks, whose first texts are
 compared, and those outside the largest group then go to each of these tasks.
 
+Of larger buckets only pairs that span are judged at first. What these leave in different components and may be alike is then
+compared as a whole, by the shingles and within tasks, which send links that join and no other pairs.
+
 Given results: a null text counts as an empty one; texts without words are alike; a text of fewer words than a shingle is one
 shingle. Upper case A-Z counts as lower case. An empty table gives an empty result. Other columns are ignored.
 """
@@ -251,6 +254,91 @@ def linked(rows: DataFrame, name: str) -> DataFrame:
     return materialise(rows.mapInArrow(linker, "sure boolean, a long, b long"), name)
 
 
+def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """The columns, as arrays or lists of bytes, of the rows of each value of the first, by which rows come sorted."""
+    hold = None
+    for batch in batches:
+        now = [c.to_pylist() if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if hold is not None:
+            now = [x + y if isinstance(x, list) else np.concatenate([x, y]) for x, y in zip(hold, now)]
+        if not len(now[0]):
+            continue
+        cut = [0, *(np.flatnonzero(np.diff(now[0])) + 1).tolist(), len(now[0])]
+        for a, b in zip(cut[:-2], cut[1:-1]):
+            yield [x[a:b] for x in now]
+        hold = [x[cut[-2] :] for x in now]
+    if hold is not None and len(hold[0]):
+        yield hold
+
+
+def left_open(fp: list[bytes], root: np.ndarray, asks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs, of one that asks and any, that are possible and of different roots."""
+    fp = np.frombuffer(b"".join(fp), dtype=np.uint8).reshape(len(fp), FP_BYTES)
+    rows = np.flatnonzero(asks)
+    for q, b, _ in near_lanes(fp[rows], planes_of(fp), POSSIBLE):
+        a = rows[q]
+        a, b = a[b < len(fp)], b[b < len(fp)]
+        good = (root[a] != root[b]) & ((a < b) | ~asks[b])
+        if good.any():
+            yield a[good], b[good]
+
+
+def asker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow over (k, t, fp, root, asks) sorted by k: (k, t) of those that a pair is left open of."""
+    for k, t, fp, root, asks in groups_of(batches):
+        found = np.zeros(len(t), dtype=bool)
+        for a, b in left_open(fp, root, asks):
+            found[a] = found[b] = True
+        if found.any():
+            yield pa.RecordBatch.from_arrays([pa.array(k[found]), pa.array(t[found])], names=["k", "t"])
+
+
+def both_similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether the sorted distinct shingles of two texts are similar."""
+    both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= SIMILARITY * max(len(x), len(y)) else 0
+    return both >= SIMILARITY * (len(x) + len(y) - both)
+
+
+def settler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow over (k, t, fp, root, asks, w) sorted by k: links (a, b) of similar texts that join what no other links join."""
+    for _, t, fp, root, asks, w in groups_of(batches):
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in w]
+        up = np.unique(root, return_inverse=True)[1]
+        parent, links = np.arange(len(t)), []
+        for a, b in left_open(fp, root, asks):
+            for i, j in zip(a.tolist(), b.tolist()):
+                p, q = (int(roots(parent, up[[x]])[0]) for x in (i, j))
+                if p != q and both_similar(sets[i], sets[j]):
+                    parent[max(p, q)] = min(p, q)
+                    links.append((int(t[i]), int(t[j])))
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], names=["a", "b"])
+
+
+def settled(marked: DataFrame, root: DataFrame, rows: DataFrame) -> DataFrame | None:
+    """(a, b): links of similar texts in different components, from buckets of more than FEW texts; None where nothing is left open."""
+    each = marked.join(root.withColumnRenamed("node", "t"), "t", "left").select("t", "fp", F.coalesce("root", "t").alias("root"), F.explode("bands").alias("bucket"))
+    kinds = each.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = kinds.groupBy("bucket").agg(F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where(f"n > {FEW} and roots > 1")
+    mixed = materialise(mixed.select("bucket", "main", F.ceil(F.col("n") / MOST_IN_TASK).cast("int").alias("parts")), "mixed")
+    if mixed.isEmpty():
+        return None
+    each = each.join(small(mixed, BROADCAST_ROWS), "bucket").withColumn("asks", F.col("root") != F.col("main"))
+    own = F.when(F.col("asks"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("t", "bucket"), F.col("parts")).cast("int")))
+    each = materialise(each.withColumn("part", F.explode(own)).select(F.xxhash64("bucket", "part").alias("k"), "t", "fp", "root", "asks"), "outside")
+    by_key = lambda x: x.repartition("k").sortWithinPartitions("k")
+    left = materialise(by_key(each).mapInArrow(asker, "k long, t long"), "left")
+    if left.isEmpty():
+        return None
+    involved = small(materialise(left.select("t").distinct(), "involved"), BROADCAST_ROWS)
+    sets = materialise(rows.join(involved, "t", "left_semi").mapInArrow(shingler, "t long, w binary").groupBy("t").agg(F.first("w").alias("w")), "shingles")
+    again = each.join(left, ["k", "t"]).join(sets, "t").select("k", "t", "fp", "root", "asks", "w")
+    found = materialise(by_key(again).mapInArrow(settler, "a long, b long"), "settled")
+    for done in (each, left, sets):
+        discard(done)
+    return found
+
+
 def shingler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for s, texts in text_steps(batch.column(1)):
@@ -263,8 +351,7 @@ def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good = []
         for wa, wb in zip(batch.column(2), batch.column(3)):
             x, y = (np.frombuffer(w.as_buffer(), dtype=np.uint64) for w in (wa, wb))
-            both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= SIMILARITY * max(len(x), len(y)) else 0
-            good.append(both >= SIMILARITY * (len(x) + len(y) - both))
+            good.append(both_similar(x, y))
         keep = pa.array(good, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
@@ -320,6 +407,9 @@ def components(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
     name = lambda side: small(roots_.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")), BROADCAST_ROWS)
     open_ = links.where("not sure").select("a", "b").distinct().join(name("a"), "a", "left").join(name("b"), "b", "left")
     open_ = materialise(open_.where("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b"), "open")
-    found = connected_components(sure.union(similar(open_, rows)))
+    alike = sure.union(similar(open_, rows))
+    found = connected_components(alike)
+    if (more := settled(marked, found, rows)) is not None:
+        found = connected_components(alike.union(more))
     own = docs.select(F.col(id).alias(id), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"))
     return own.join(found.withColumnRenamed("node", "t"), "t", "left").select(id, "t", F.coalesce("root", "t").alias("root"))
